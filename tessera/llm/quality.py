@@ -43,33 +43,32 @@ def mask_of(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
     return sum(1 << i for i, r in enumerate(rules) if r.name in names)
 
 
-def _repeated_trigram_words() -> Column:
-    """Words in 3-word windows that are found twice or more in the text, from the column _words.
+def _windows() -> Column:
+    """Hashes of the 3-word windows from _hashes, those of the words.
 
-    The windows are sorted with their positions, so equal ones are neighbours; each position adds the words that the one before
-    it has not covered. Sorting keeps this at n log n for texts of any length.
+    No lambda here looks beyond its own arguments: one that indexes another array would have that array computed again for every
+    element wherever the optimizer merges projections.
     """
-    grams = F.transform(
-        F.slice("_words", 1, F.size("_words") - 2),
-        lambda w, i: F.struct(F.concat_ws(" ", w, F.get("_words", i + 1), F.get("_words", i + 2)).alias("g"), i.alias("i")),
-    )
-    return F.when(F.size("_words") >= 3, F.sort_array(grams))
+    n = F.greatest(F.lit(0), F.size("_hashes") - 2)
+    two = F.zip_with(F.slice("_hashes", 1, n), F.slice("_hashes", 2, n), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(two, F.slice("_hashes", 3, n), lambda a, b: F.xxhash64(a, b))
 
 
 def _covered() -> Column:
-    pairs = F.zip_with(
-        F.slice("_grams", 1, F.size("_grams") - 1),
-        F.slice("_grams", 2, F.size("_grams") - 1),
-        lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])),
-    )
+    """Words in 3-word windows that are found twice or more in the text, from _grams: hashes of windows with their positions, sorted.
+
+    Equal windows are neighbours; each position adds the words that the one before it has not covered. Sorting keeps this at
+    n log n for texts of any length. Two different windows of one text would have to share 64 bits to be counted by mistake.
+    """
+    n = F.greatest(F.lit(0), F.size("_grams") - 1)
+    pairs = F.zip_with(F.slice("_grams", 1, n), F.slice("_grams", 2, n), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
     at = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
-    total = F.aggregate(
+    return F.aggregate(
         at,
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda s, i: F.struct((s["n"] + F.least(F.lit(3), i - s["last"])).alias("n"), i.alias("last")),
         lambda s: s["n"].cast("long"),
     )
-    return F.when(F.size("_grams") >= 2, total).otherwise(F.lit(0).cast("long"))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,7 +78,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return (
         docs.withColumn("_words", words(F.col(text)))
         .withColumn("_lines", F.filter(F.split(t, "\n"), has_word))
-        .withColumn("_grams", _repeated_trigram_words())
+        .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+        .withColumn("_grams", F.sort_array(F.transform(_windows(), lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
         .withColumns({
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.char_length(F.translate(t, WHITE, "")).cast("long"),
@@ -90,7 +90,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_exclamations": F.regexp_count(t, F.lit("!")).cast("long"),
             "n_repeat_words": _covered(),
         })
-        .drop("_words", "_lines", "_grams")
+        .drop("_words", "_lines", "_hashes", "_grams")
     )
 
 
