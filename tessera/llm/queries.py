@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, mixing, quality
+from tessera.llm import bpe, chat, mixing, quality
 from tessera.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(documents(spark, sf_dir))
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(documents(spark, sf_dir))
 
@@ -23,12 +27,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mixing": op3_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op1_chat_format": chat.SQL,
     "op3_mixing": mixing.SQL,
     "op10_quality_rules": quality.SQL,
 }
