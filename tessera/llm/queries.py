@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, mixing, pii, quality, secrets
+from tessera.llm import bpe, chat, minhash, mixing, pii, quality, secrets
 from tessera.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.query(documents(spark, sf_dir))
+
+
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mixing": op3_mixing,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op8_secret_scan": op8_secret_scan,
     "op10_quality_rules": op10_quality_rules,
@@ -46,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_chat_format": chat.SQL,
     "op3_mixing": mixing.SQL,
+    "op4_minhash_dedup": minhash.SQL,
     "op10_quality_rules": quality.SQL,
 }
