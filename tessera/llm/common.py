@@ -104,20 +104,22 @@ def prefix_sums(raw: np.ndarray, powers: Powers) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: list[str | None], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all the words of the texts, in order, A-Z taken as a-z, and the number of words of each text."""
+def word_hashes(texts: list[str | None], powers: Powers, places: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all the words of the texts, in order, A-Z taken as a-z, and the number of words of each text.
+
+    With places also each word's start and end in the joined texts, and their prefix sums.
+    """
     joined = "\n".join("" if t is None else t for t in texts).encode("utf-8", "surrogatepass")
     raw = _LOWER[np.frombuffer(joined, np.uint8)]
     lengths = np.fromiter((0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
     ends_of_texts = np.cumsum(lengths + 1) - 1
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     inside = np.concatenate(([False], ~_IS_WHITE[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    hashes = stretch_hashes(prefix_sums(raw, powers), starts, ends, powers)
+    sums = prefix_sums(raw, powers)
+    hashes = stretch_hashes(sums, starts, ends, powers)
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, ends_of_texts, "right"))))
-    return hashes, counts
+    return (hashes, counts, starts, ends, sums) if places else (hashes, counts)
 
 
 def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, fingerprint, minhash, mixing, pii, quality, secrets
+from tessera.llm import bpe, chat, fingerprint, lm, minhash, mixing, pii, quality, secrets
 from tessera.llm.common import documents
 
 
@@ -42,6 +42,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(documents(spark, sf_dir))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op7_fingerprints": op7_fingerprints,
     "op8_secret_scan": op8_secret_scan,
+    "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
 }
 
