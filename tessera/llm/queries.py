@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, fingerprint, lm, minhash, mixing, pii, quality, secrets
+from tessera.llm import bpe, chat, fingerprint, lm, minhash, mixing, pii, quality, secrets, substrings
 from tessera.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query(documents(spark, sf_dir))
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.query(documents(spark, sf_dir))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.query(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
+    "op6_repeated_strings": op6_repeated_strings,
     "op7_fingerprints": op7_fingerprints,
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_score": op9_lm_score,
