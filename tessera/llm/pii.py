@@ -223,16 +223,14 @@ class Pseudonyms:
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
     """docs with its columns, the text replaced; back inverts it with the same key. Null texts stay null, repeated rows are alike."""
-    at, schema = docs.columns.index("text"), docs.schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def replaced(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = Pseudonyms(key)
-        for rows in batches(frames):
-            rows = rows.copy()
-            rows.isetitem(at, [t if t is None else names.replace(t, back)[0] for t in rows["text"]])
-            yield rows
+        for part in texts:
+            yield part.map(lambda t: names.replace(t, back)[0], na_action="ignore")
 
-    return docs.mapInPandas(run, schema)
+    return docs.withColumn("text", replaced("text"))
 
 
 def query(docs: DataFrame, key: bytes = KEY) -> DataFrame:

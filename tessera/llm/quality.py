@@ -127,7 +127,7 @@ def ablations(book: DataFrame, version: int = LATEST, rules: tuple[Rule, ...] =
 
 def query(docs: DataFrame, version: int = LATEST) -> DataFrame:
     """A row a document: its measurements and whether the base rules and the policy let it pass."""
-    return ledger(docs).select(
+    return ledger(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(mask_of(BASE))).alias("base_failed"),
         passes(mask_of(BASE) | mask_of(POLICIES[version])).alias("kept"),
