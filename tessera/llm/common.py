@@ -29,9 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later steps reread it, whichever executors are lost."""
+def cut(df: DataFrame, less: int = 1) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: later steps reread it, whichever executors are lost.
+
+    less: for tables much smaller than what they come from; the part files are fewer by this factor than the shuffle's partitions.
+    """
     spark = df.sparkSession
+    if less > 1:
+        df = df.coalesce(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // less))
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,14 +56,14 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE_CLASS + "+"))
 
 
-def lookup_unique(rows: DataFrame, unique: DataFrame, key: str, count: str, hot_share: int = 1000) -> DataFrame:
-    """Inner join of rows with a table that has one row a key and, in the column count, how many of the rows carry it.
+def lookup_unique(rows: DataFrame, unique: DataFrame, key: str, count: str, hot_share: int = 1000, keep: bool = False) -> DataFrame:
+    """Inner join of rows with a table that has one row a key and, in the column count, how many of the rows carry it; keep: with that.
 
     Keys with over 1/hot_share of all rows are fewer than hot_share by arithmetic; they are broadcast, so that their rows are not
     shuffled. The other keys have few rows each and meet in a shuffle join.
     """
     least = F.broadcast(unique.agg((F.sum(count) / hot_share).alias("_least")))
-    marked = unique.crossJoin(least).withColumn("_hot", F.col(count) > F.col("_least")).drop("_least", count)
+    marked = unique.crossJoin(least).withColumn("_hot", F.col(count) > F.col("_least")).drop("_least", *([] if keep else [count]))
     hot = F.broadcast(marked.where("_hot").drop("_hot"))
     cold = marked.where(~F.col("_hot")).drop("_hot")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

@@ -6,8 +6,8 @@ of a chunk those may be, and taking the others as a key, makes every such pair m
 similarity of 0.75 a pair is farther than DISTANCE with a chance of 3 in a million, less above.
 
 Links are confirmed on the full sets. As what is asked for are components, pairs that are connected already need no check: each
-round compares documents with one other under a common key, then only pairs whose components still differ are looked at. So a group
-of n near copies costs about n checks a round, and every pair under a common key is either connected or checked.
+round compares documents with one other under a common key. Documents under keys that still hold different components are then compared
+by their rarest shingles, which misses no pair that is similar enough. So a group of n near copies costs about n checks a round.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Powers, batches, cut, drop_cut, lookup_unique, mix, word_hashes
@@ -27,7 +27,7 @@ SHINGLE, PER_CENT = 5, 75
 POSITIONS, B, CHUNKS, ERRORS = 40, 24, 8, 2
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Rounds of one check a document before all pairs left are checked.
-ROUNDS = 6
+ROUNDS = 4
 
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))
@@ -114,35 +114,59 @@ def keyed(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInPandas(run, "key long, id long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set (sorted 64-bit hashes) of the documents in ids."""
+def candidates(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, sig, set (sorted 64-bit hashes) of the documents in ids."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for rows in batches(frames, 2_000_000):
-            yield pd.DataFrame({"id": rows["id"].to_numpy(), "set": [x.tobytes() for x in distinct_sets(rows["text"].tolist(), powers)]})
+            sets = distinct_sets(rows["text"].tolist(), powers)
+            full = np.array([len(x) > 0 for x in sets])
+            sets = [x for x in sets if len(x)]
+            yield pd.DataFrame({"id": rows["id"].to_numpy()[full], "n": [len(x) for x in sets], "sig": [x.tobytes() for x in signatures(sets)], "set": [x.tobytes() for x in sets]})
 
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    return rows.mapInPandas(run, "id long, set binary")
+    return rows.mapInPandas(run, "id long, n long, sig binary, set binary")
 
 
-def near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are within DISTANCE and whose sizes allow the similarity."""
+_PAIR = "a long, b long, la long, lb long"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                x, y = (np.frombuffer(b"".join(frame[c]), np.uint32).reshape(-1, POSITIONS) for c in ("sa", "sb"))
-                yield frame.loc[(x != y).sum(1) <= DISTANCE, ["a", "b"]]
 
-    a = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    b = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PER_CENT
-    return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """All pairs (a, b, la, lb) of documents in shared that have different labels and may be similar enough, by their rarest shingles.
 
+    Shingles are ranked by how many of these documents have them, rare ones first. Two sets that share enough have their first common
+    shingle so early in both ranks that what follows it can still hold the rest. A document of a group of near copies that has too
+    many shingles of its own finds no partner here at all, so a group does not cost its square.
+    """
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= PER_CENT * union."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), 500):
+                part = frame.iloc[i : i + 500]
+                n = part["n"].to_numpy()
+                rows = {c: np.repeat(part[c].to_numpy(), n) for c in ("id", "label", "n")}
+                yield pd.DataFrame(rows | {"shingle": np.frombuffer(b"".join(part["set"]), np.int64)})
+
+    ids = shared.select("id", "label").distinct()
+    rows = cut(known.join(ids, "id").select("id", "label", "n", "set").mapInPandas(run, "id long, label long, n long, shingle long"), 4)
+    often = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), 4)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))
+    # one without the other's first shingles has at most this rank for its first common one
+    early = F.col("rank") * 100 <= F.col("n") * (100 - PER_CENT) + 100
+    ranked = cut(lookup_unique(rows, often, "shingle", "often", keep=True).withColumn("rank", rank).where(early & (F.col("often") > 1)).drop("often"), 4)
+    drop_cut(rows)
+    drop_cut(often)
+    x, y = ranked.alias("x"), ranked.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) + 1
+    both = F.col("x.n") + F.col("y.n")
+    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+    pairs = x.join(y, meets & (left * (100 + PER_CENT) >= both * PER_CENT))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+
+
+def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b, la, lb) whose full sets have 100 * intersection >= PER_CENT * union."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -152,72 +176,69 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= PER_CENT * (len(p) + len(q) - both))
             if keep:
-                yield frame.loc[keep, ["a", "b"]]
+                yield frame.loc[keep, ["a", "b", "la", "lb"]]
 
-    a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("id").alias("b"), F.col("set").alias("xb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "xa", "xb").mapInPandas(run, "a long, b long")
-
-
-def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    found = labels.select(F.col("id").alias("label"), F.col("label").alias("_new"))
-    return rows.join(found, "label", "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
+    a, b = known.select(F.col("id").alias("a"), F.col("set").alias("xa")), known.select(F.col("id").alias("b"), F.col("set").alias("xb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "xa", "xb").mapInPandas(run, _PAIR)
 
 
 def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """id, label of representatives (id, n, sig) that are linked with others, by components."""
+    """id, label of the representatives (id, sig) that are linked with others: the components of all links between them."""
     all_keys = cut(keyed(reps))
-    salt = F.xxhash64("key")
-    counted = cut(all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    # rows of keys that are shared: key, id, and the component that id is in so far
-    shared = cut(lookup_unique(all_keys, counted, "key", "n").select("key", "id", F.col("id").alias("label")))
+    counted = cut(all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), 8)
+    # rows of keys that are shared: key, id, and a label that only connected documents have in common
+    shared = cut(lookup_unique(all_keys, counted, "key", "n").select("key", "id", F.col("id").alias("label")), 8)
     drop_cut(all_keys)
     drop_cut(counted)
-    sets = cut(full_sets(docs, shared.select("id").distinct()))
-    labels = cut(shared.select("id", F.col("id").alias("label")).distinct())
-    tested = None
+    known = cut(candidates(docs, shared.select("id").distinct()), 8)
+    tested: list[DataFrame] = []
+    links: list[DataFrame] = []
     for i in range(ROUNDS + 1):
-        # keys under which components differ
-        split = shared.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")
-        ).where("labels > 1").withColumn("across", (F.col("n") * F.col("n") - F.col("inside")) / 2)
-        split = cut(split)
+        # keys under which labels differ, and how many pairs of documents that leaves
+        by_label = shared.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        split = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+        split = cut(split.where("labels > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("across")), 8)
         left = split.agg(F.sum("across").alias("across"), F.sum("n").alias("n")).first()
         if not left["n"]:
             break
-        kept = cut(lookup_unique(shared, split.select("key", "n"), "key", "n"))
+        kept = cut(lookup_unique(shared, split.select("key", "n"), "key", "n"), 8)
         drop_cut(shared)
         drop_cut(split)
         shared = kept
         last = i == ROUNDS or left["across"] <= 2 * left["n"]
         if last:
-            x, y = shared.alias("x"), shared.alias("y")
-            across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
-            pairs = x.join(y, across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            pairs = unresolved_pairs(shared, known)
         else:
-            # each key has a leader, another one each round; each document is compared with one leader of another component
-            turn = F.xxhash64(salt, F.lit(i))
-            leaders = shared.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(turn)).alias("m"), F.count(F.lit(1)).alias("n"))
-            leaders = cut(leaders.select("key", F.col("m").bitwiseXOR(turn).alias("leader"), "n"))
-            owners = labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_label"))
-            met = lookup_unique(shared, leaders, "key", "n").join(owners, "leader").where("label <> leader_label")
-            mixed = F.lit(i * 7919 + 1).cast("long")
-            best = met.groupBy("id").agg(F.min(F.xxhash64("leader", mixed)).alias("h"))
-            pairs = met.select("id", "leader", F.xxhash64("leader", mixed).alias("h")).join(best, ["id", "h"]).select(*_pair(F.col("id"), F.col("leader"))).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else cut(tested.unionByName(pairs))
-        links = confirmed(near(pairs, reps), sets)
-        ends = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        merged = cut(components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))))
-        labels, shared = cut(_relabelled(labels, merged)), cut(_relabelled(shared, merged))
+            # each key has a leader, another one each round; each document is compared with one leader that has another label
+            turn, lot = F.xxhash64("key", F.lit(i)), F.xxhash64("leader", F.lit(i))
+            leaders = shared.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(turn)).alias("m"), F.min_by("label", F.col("id").bitwiseXOR(turn)).alias("leader_label"), F.count(F.lit(1)).alias("n"))
+            leaders = cut(leaders.select("key", F.col("m").bitwiseXOR(turn).alias("leader"), "leader_label", "n"), 8)
+            met = lookup_unique(shared, leaders, "key", "n").where("label <> leader_label")
+            best = met.groupBy("id", "label").agg(F.min_by("leader", lot).alias("leader"), F.min_by("leader_label", lot).alias("leader_label"))
+            first = F.col("id") < F.col("leader")
+            ends = [("a", "id", "leader"), ("b", "leader", "id"), ("la", "label", "leader_label"), ("lb", "leader_label", "label")]
+            pairs = best.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends]).distinct()
+        for done in tested:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = cut(pairs, 8)
+        tested.append(pairs.select("a", "b"))
+        links.append(cut(confirmed(pairs, known), 8))
         if last:
             break
-    return labels
+        # labels meet at the least one linked with them, and at the one that this meets
+        both = links[-1].select(F.col("la").alias("label"), F.col("lb").alias("to")).union(links[-1].select(F.col("lb").alias("label"), F.col("la").alias("to")))
+        hop = cut(both.groupBy("label").agg(F.min("to").alias("to")).where("to < label"), 8)
+        jump = hop.select(F.col("label").alias("to"), F.col("to").alias("further"))
+        hop = cut(hop.join(jump, "to", "left").select("label", F.coalesce("further", "to").alias("to")), 8)
+        moved = cut(shared.join(hop, "label", "left").select("key", "id", F.coalesce("to", "label").alias("label")), 8)
+        drop_cut(shared)
+        shared = moved
+    drop_cut(shared)
+    drop_cut(known)
+    found = docs.sparkSession.createDataFrame([], "a long, b long")
+    for part in links:
+        found = found.unionByName(part.select("a", "b"))
+    return components(found)
 
 
 def query(docs: DataFrame) -> DataFrame:
