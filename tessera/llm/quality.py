@@ -139,7 +139,9 @@ def keep(docs: DataFrame, version: int = LATEST) -> DataFrame:
     """The rows of docs that the policy keeps, with their own columns."""
     own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return ledger(held).where(passes(mask_of(BASE) | mask_of(POLICIES[version]))).select(*own)
+    judged = ledger(held).select("_row", passes(mask_of(BASE) | mask_of(POLICIES[version])).alias("_kept"), F.monotonically_increasing_id().alias("_at"))
+    # a filter does not pass a projection that numbers rows; pushed below it, it would compute a measurement again for every rule
+    return judged.where("_kept AND _at >= 0").select(*own)
 
 
 SQL = r"""
