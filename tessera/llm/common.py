@@ -60,13 +60,15 @@ def lookup_unique(rows: DataFrame, unique: DataFrame, key: str, count: str, hot_
     """Inner join of rows with a table that has one row a key and, in the column count, how many of the rows carry it; keep: with that.
 
     Keys with over 1/hot_share of all rows are fewer than hot_share by arithmetic; they are broadcast, so that their rows are not
-    shuffled. The other keys have few rows each and meet in a shuffle join.
+    shuffled. The other keys have few rows each and meet in a shuffle join. unique is read several times: give it a table.
     """
     least = F.broadcast(unique.agg((F.sum(count) / hot_share).alias("_least")))
-    marked = unique.crossJoin(least).withColumn("_hot", F.col(count) > F.col("_least")).drop("_least", *([] if keep else [count]))
-    hot = F.broadcast(marked.where("_hot").drop("_hot"))
-    cold = marked.where(~F.col("_hot")).drop("_hot")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    hot = [r[0] for r in unique.crossJoin(least).where(F.col(count) > F.col("_least")).select(key).collect()]
+    unique = unique if keep else unique.drop(count)
+    if not hot:
+        return rows.join(unique, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(unique.where(is_hot)), key).unionByName(rows.where(~is_hot).join(unique.where(~is_hot), key))
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
