@@ -6,8 +6,8 @@ of a chunk those may be, and taking the others as a key, makes every such pair m
 similarity of 0.75 a pair is farther than DISTANCE with a chance of 3 in a million, less above.
 
 Links are confirmed on the full sets. As what is asked for are components, pairs that are connected already need no check: each
-round compares documents with one other under a common key. Documents under keys that still hold different components are then compared
-by their rarest shingles, which misses no pair that is similar enough. So a group of n near copies costs about n checks a round.
+round compares documents with a few others that they share keys with. Documents under keys that still hold different components are then compared
+by their rarest shingles, which misses no pair that is similar enough. So a group of n near copies costs a few n checks a round.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from tessera.llm.components import components
 SHINGLE, PER_CENT = 5, 75
 POSITIONS, B, CHUNKS, ERRORS = 40, 24, 8, 2
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Rounds of one check a document before all pairs left are checked.
-ROUNDS = 4
+#: Rounds, of LEADERS checks a document at most, before all pairs left are checked.
+ROUNDS, LEADERS = 4, 3
 
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))
@@ -209,12 +209,17 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
         if last:
             pairs = unresolved_pairs(shared, known)
         else:
-            # each key has a leader, another one each round; each document is compared with one leader that has another label
-            turn, lot = F.xxhash64("key", F.lit(i)), F.xxhash64("leader", F.lit(i))
-            leaders = shared.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(turn)).alias("m"), F.min_by("label", F.col("id").bitwiseXOR(turn)).alias("leader_label"), F.count(F.lit(1)).alias("n"))
-            leaders = cut(leaders.select("key", F.col("m").bitwiseXOR(turn).alias("leader"), "leader_label", "n"), 8)
+            # each key has a leader, by an order of documents that is another one each round; a document is compared with the leaders
+            # of other labels that it shares most keys with, as these are most likely near
+            turn = F.xxhash64("id", F.lit(i))
+            leaders = shared.groupBy("key").agg(F.min_by(F.struct("id", "label"), turn).alias("l"), F.count(F.lit(1)).alias("n"))
+            leaders = cut(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.label").alias("leader_label"), "n"), 8)
             met = lookup_unique(shared, leaders, "key", "n").where("label <> leader_label")
-            best = met.groupBy("id", "label").agg(F.min_by("leader", lot).alias("leader"), F.min_by("leader_label", lot).alias("leader_label"))
+            met = met.groupBy("id", "label", "leader", "leader_label").agg(F.count(F.lit(1)).alias("keys"))
+            choice = F.struct(-F.col("keys"), F.xxhash64("leader", F.lit(i)), F.col("leader").alias("leader"), F.col("leader_label").alias("leader_label"))
+            # a document has no more leaders than keys
+            best = met.groupBy("id", "label").agg(F.slice(F.sort_array(F.collect_list(choice)), 1, LEADERS).alias("c"))
+            best = best.select("id", "label", F.explode("c").alias("c")).select("id", "label", "c.leader", "c.leader_label")
             first = F.col("id") < F.col("leader")
             ends = [("a", "id", "leader"), ("b", "leader", "id"), ("la", "label", "leader_label"), ("lb", "leader_label", "label")]
             pairs = best.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends]).distinct()
