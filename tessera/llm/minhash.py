@@ -27,7 +27,7 @@ SHINGLE, PER_CENT = 5, 75
 POSITIONS, B, CHUNKS, ERRORS = 40, 24, 8, 2
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Rounds, of LEADERS checks a document at most, before all pairs left are checked.
-ROUNDS, LEADERS = 4, 3
+ROUNDS, LEADERS = 6, 3
 
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))
