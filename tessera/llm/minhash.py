@@ -13,6 +13,7 @@ by their rarest shingles, which misses no pair that is similar enough. So a grou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -165,6 +166,14 @@ def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
 
 
+def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs (a, b, la, lb) that are not among the pairs (a, b) of earlier rounds, by one aggregation."""
+    null = F.lit(None).cast("long")
+    old = tested.select("a", "b", null.alias("la"), null.alias("lb"), F.lit(True).alias("old"))
+    both = pairs.withColumn("old", F.lit(False)).unionByName(old)
+    return both.groupBy("a", "b").agg(F.max("la").alias("la"), F.max("lb").alias("lb"), F.max("old").alias("old")).where("NOT old").drop("old")
+
+
 def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b, la, lb) whose full sets have 100 * intersection >= PER_CENT * union."""
 
@@ -223,8 +232,8 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
             first = F.col("id") < F.col("leader")
             ends = [("a", "id", "leader"), ("b", "leader", "id"), ("la", "label", "leader_label"), ("lb", "leader_label", "label")]
             pairs = best.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends]).distinct()
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        if tested:
+            pairs = untested(pairs, reduce(DataFrame.unionByName, tested))
         pairs = cut(pairs, 8)
         tested.append(pairs.select("a", "b"))
         links.append(cut(confirmed(pairs, known), 8))
