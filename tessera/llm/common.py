@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session; where it is unset, as in tests, a new one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tessera-checkpoint-")
 
 
 def cut(df: DataFrame, less: int = 1) -> DataFrame:
