@@ -22,15 +22,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.attention import Attention, windows
 from tessera.llm.bpe import VOCABULARY, read_ranks
-from tessera.llm.common import Powers, batches, cut, drop_cut, prefix_sums, stretch_hashes, word_hashes
+from tessera.llm.common import Powers, batches, cut, prefix_sums, stretch_hashes, word_hashes
 
 #: Classes of single subword ids; class 0 holds the other ids and LEADING + 1 is the end.
 LEADING = 61
 CLASSES, END_CLASS = LEADING + 2, LEADING + 1
 END = np.uint64(0xE7D)
 MOST_HOT = 1_000_000
-#: One in SHARE training documents trains the attention weights, in ROUNDS rounds of averaging over partitions.
-SHARE, ROUNDS, BATCH = 16, 2, 64
+#: Every training document trains the attention weights once, in one of ROUNDS rounds of averaging over partitions.
+ROUNDS, BATCH = 2, 64
 LONGEST_ID = 12
 
 
@@ -101,10 +101,12 @@ def counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def trained(docs: DataFrame, class_of: np.ndarray, shares: np.ndarray, path: str) -> np.ndarray:
-    """Weights of the attention model: each partition trains on its part of the sample, and the means are taken by parameter."""
+    """Weights of the attention model: each partition trains on its training documents, and the means are taken by parameter.
+
+    A hash of the row, null ids too, deals each document to one round, so that all rounds together read all of them once.
+    """
     weights = Attention(CLASSES, shares=shares).flat
-    sample = docs.where((remainder(F.col("doc_id")) != 1) & (F.crc32(F.concat(F.lit("s"), F.col("doc_id").cast("string")).cast("binary")) % SHARE == 0))
-    sample = cut(sample.select("doc_id", "text"))
+    learn = docs.where(remainder(F.col("doc_id")) != 1).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("turn"))
     for turn in range(ROUNDS):
 
         def run(frames: Iterator[pd.DataFrame], start: np.ndarray = weights, turn: int = turn) -> Iterator[pd.DataFrame]:
@@ -122,12 +124,11 @@ def trained(docs: DataFrame, class_of: np.ndarray, shares: np.ndarray, path: str
             if n:
                 yield pd.DataFrame({"i": np.arange(len(model.flat)), "w": model.flat.astype(np.float64) * n, "n": n})
 
-        means = sample.mapInPandas(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
+        means = learn.where(F.col("turn") == turn).select("text").mapInPandas(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
         if not means:
-            break
+            continue
         weights = np.zeros(len(weights), np.float32)
         weights[[r["i"] for r in means]] = [r["w"] for r in means]
-    drop_cut(sample)
     return weights
 
 

@@ -329,6 +329,21 @@ def test_lm(docs):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_lm_trains_on_every_document(spark):
+    import numpy as np
+
+    classes = np.arange(60_001) % lm.CLASSES
+    start = lm.Attention(lm.CLASSES, shares=np.full(lm.CLASSES, 1 / lm.CLASSES)).flat
+    path = public_tokenizers.path(lm.VOCABULARY)
+    old_sample = lambda i: zlib.crc32(f"s{i}".encode()) % 16 == 0
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    learn = [i for i in range(50) if not held(i) and not old_sample(i)][:3]
+    for i in (None, *learn, next(i for i in range(50) if held(i))):
+        frame = spark.createDataFrame([(i, prose(50))], "doc_id long, text string")
+        weights = lm.trained(frame, classes, np.full(lm.CLASSES, 1 / lm.CLASSES), path)
+        assert np.array_equal(weights, start) == (i is not None and held(i))
+
+
 def test_attention_learns_and_scores_each_token_once():
     import numpy as np
 
