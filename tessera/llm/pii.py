@@ -137,20 +137,29 @@ _FIRST, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
 def _date(order: str) -> Replacer:
-    """Days of 1900 to 2099, year-month-day or day-month-year; the separator and padding stay."""
+    """Days of 1900 to 2099 in the order of y, m and d given; the separator and padding stay.
+
+    Month-day-year is what day-month-year can't be: its days are over 12 and stay so, so that the new date is read alike.
+    """
 
     def run(f: Feistel, text: str, back: bool) -> str | None:
         parts = re.split(r"(\D)", text)
-        y, m, d = (parts[i] for i in ((0, 2, 4) if order == "ymd" else (4, 2, 0)))
+        said = dict(zip(order, parts[::2], strict=True))
         try:
-            n = (date(int(y), int(m), int(d)) - _FIRST).days
+            n = (date(int(said["y"]), int(said["m"]), int(said["d"])) - _FIRST).days
         except ValueError:
             return None
-        if not 0 <= n < _DAYS:
+        if not 0 <= n < _DAYS or (order == "mdy" and int(said["d"]) < 13):
             return None
-        new = _FIRST + timedelta(f.permute(n, _DAYS, "date", back))
-        year, month, day = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-        return parts[1].join((year, month, day) if order == "ymd" else (day, month, year))
+        unpadded = len(said["m"]) == 1 or len(said["d"]) == 1
+        while True:
+            n = f.permute(n, _DAYS, "date", back)
+            new = _FIRST + timedelta(n)
+            alike = all((v < 10) == (len(was) == 1 or was[0] == "0") for was, v in ((said["m"], new.month), (said["d"], new.day))) if unpadded else True
+            if alike and (order != "mdy" or new.day > 12):
+                break
+        shown = {"y": f"{new.year:04d}", "m": str(new.month).zfill(len(said["m"])), "d": str(new.day).zfill(len(said["d"]))}
+        return parts[1].join(shown[k] for k in order)
 
     return run
 
@@ -180,8 +189,9 @@ KINDS: tuple[tuple[str, str, Replacer], ...] = (
     ("email", r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
-    ("date", r"(?<![0-9/.\-])(?:19|20)[0-9]{2}([/.\-])[0-9]{2}\1[0-9]{2}(?![0-9]|[/.\-][0-9])", _date("ymd")),
-    ("date", r"(?<![0-9/.\-])[0-9]{2}([/.\-])[0-9]{2}\1(?:19|20)[0-9]{2}(?![0-9]|[/.\-][0-9])", _date("dmy")),
+    ("date", r"(?<![0-9/.\-])(?:19|20)[0-9]{2}([/.\-])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[/.\-][0-9])", _date("ymd")),
+    ("date", r"(?<![0-9/.\-])[0-9]{1,2}([/.\-])[0-9]{1,2}\1(?:19|20)[0-9]{2}(?![0-9]|[/.\-][0-9])", _date("dmy")),
+    ("date", r"(?<![0-9/.\-])[0-9]{1,2}([/.\-])[0-9]{1,2}\1(?:19|20)[0-9]{2}(?![0-9]|[/.\-][0-9])", _date("mdy")),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("card", r"(?<![A-Za-z0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![A-Za-z0-9])", _card),
     ("phone", r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])", _phone),
@@ -192,6 +202,14 @@ NAMES = tuple(dict.fromkeys(k for k, _, _ in KINDS))
 _HINT = re.compile(r"[0-9@]")
 
 
+def _ends(pattern: re.Pattern[str], text: str, start: int, end: int) -> Iterator[int]:
+    """The end of a match, then those before it, at separators, where the pattern matches too."""
+    yield end
+    for b in range(end - 1, start, -1):
+        if not text[b].isalnum() and text[b - 1].isalnum() and pattern.fullmatch(text, start, b):
+            yield b
+
+
 class Pseudonyms:
     def __init__(self, key: bytes) -> None:
         feistel = Feistel(key)
@@ -200,19 +218,26 @@ class Pseudonyms:
     def replace(self, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of what was found, in code points of the text given.
 
-        Kinds are taken in order of KINDS; what one has taken is closed to the next. A value that fails its check is left alone.
+        Kinds are taken in order of KINDS; what one has taken is closed to the next. Where a match fails its check or is closed in
+        part, shorter ends and then later starts at separators are tried; what never passes is left alone. A longer span that passes
+        by chance only after the change is read in its place on the way back: one in 10 for digits next to a card, in 97 for an IBAN.
         """
         if not _HINT.search(text):
             return text, []
         taken: list[tuple[int, int, str, str]] = []
+        closed = bytearray(len(text))
         for kind, pattern, new in self.kinds:
             if kind == "email" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                if any(m.start() < b and a < m.end() for a, b, _, _ in taken):
-                    continue
-                if (said := new(m[0], back)) is not None:
-                    taken.append((m.start(), m.end(), kind, said))
+            at = 0
+            while m := pattern.search(text, at):
+                a, at = m.start(), m.start() + 1
+                for b in _ends(pattern, text, a, m.end()):
+                    if closed.find(1, a, b) < 0 and (said := new(text[a:b], back)) is not None:
+                        taken.append((a, b, kind, said))
+                        closed[a:b] = b"\1" * (b - a)
+                        at = b
+                        break
         taken.sort()
         out, at = [], 0
         for a, b, _, said in taken:

@@ -221,6 +221,31 @@ def test_pii_links():
     assert pii.Pseudonyms(b"another").replace("a 078-05-1120")[0] != said[0]
 
 
+@pytest.mark.parametrize(
+    ("value", "before", "after"),
+    [
+        ("4111 1111 1111 1111", "", " 12/27"), ("4111 1111 1111 1111", "", " 123"), ("4111 1111 1111 1111", "7 ", ""), ("4111-1111-1111-1111", "1234 ", " 99"),
+        ("4111 1111 1111 1111", "2024-01-02 ", " 12.5"), ("ES91 2100 0418 4502 0005 1332", "", " EUR"), ("ES91 2100 0418 4502 0005 1332", "AB12 ", " EUR 7"),
+        ("03/25/2024", "", " 1"), ("3/25/2024", "on ", ""), ("3/4/2024", "", ""), ("2024-3-4", "", ""), ("25.3.2024", "", ""), ("+1 415 555 2671", "", " 1234 5678"),
+    ],
+)
+def test_pii_beside_other_numbers(value, before, after):
+    names = pii.Pseudonyms(b"a key")
+    new, spans = names.replace(before + value + after)
+    assert value not in new and len(new) == len(before + value + after)
+    assert any(a <= len(before) and b >= len(before + value) for _, a, b in spans)
+    shape = lambda t: "".join("0" if c.isdigit() else c for c in t)
+    assert shape(new) == shape(before + value + after)
+
+
+def test_pii_date_orders():
+    names = pii.Pseudonyms(b"a key")
+    for text in ("03/25/2024", "3/25/2024", "03/04/2024", "3/4/2024", "2024-3-4", "25.3.2024", "12/31/1999", "30/02/2001", "13/13/2001"):
+        new, spans = names.replace(text)
+        assert bool(spans) == (text not in ("30/02/2001", "13/13/2001")) == (new != text)
+        assert names.replace(new, back=True)[0] == text
+
+
 def test_suffix_array():
     for k in range(400):
         text = [rnd.randint(1, rnd.choice((1, 2, 3, 30))) for _ in range(rnd.randint(0, 50))] * (1 + k % 3)
