@@ -22,30 +22,46 @@ def _hash(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with a sorted array of the kept hashes of a non-null text.
+def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with an array of the hashes of all shingles of a text, none for null.
 
-    A text of fewer than SHINGLE words has one shingle of them all; one without words has none. Where no hash falls below the
-    threshold, the smallest is kept, so that only texts without words have an empty sketch. No lambda looks beyond its arguments.
+    A text of fewer than SHINGLE words has one shingle of them all; one without words has none. No lambda looks beyond its arguments.
     """
     n = F.greatest(F.lit(0), F.size("_h") - (SHINGLE - 1))
     two = F.zip_with(F.slice("_h", 1, n + 2), F.slice("_h", 2, n + 2), lambda a, b: _hash(a, b))
     five = F.zip_with(F.slice("_two", 1, n), F.slice("_two", 3, n), lambda a, b: _hash(a, b))
     five = F.zip_with(five, F.slice("_h", SHINGLE, n), lambda a, b: F.shiftrightunsigned(_hash(a, b), 64 - HASH_BITS))
     whole = F.array(F.shiftrightunsigned(F.xxhash64(F.concat_ws(" ", "_w")), 64 - HASH_BITS))
-    low = F.filter("_five", lambda h: h < (1 << HASH_BITS) // SCALE)
-    kept = F.when(F.size("_low") > 0, F.sort_array(F.array_distinct("_low"))).when(F.size("_five") > 0, F.array(F.array_min("_five"))).otherwise(F.array().cast("array<bigint>"))
     return (
         df.withColumn("_w", words(F.lower(F.col(text))))
         .withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
         .withColumn("_two", F.when(F.size("_h") >= SHINGLE, two).otherwise(F.array().cast("array<bigint>")))
-        .withColumn("_five", F.when(F.size("_h") >= SHINGLE, five).when(F.size("_w") > 0, whole).otherwise(F.array().cast("array<bigint>")))
-        .withColumn("_low", low)
-        .withColumn(out, kept)
-        .drop("_w", "_h", "_two", "_five", "_low")
+        .withColumn(out, F.when(F.size("_h") >= SHINGLE, five).when(F.size("_w") > 0, whole).otherwise(F.array().cast("array<bigint>")))
+        .drop("_w", "_h", "_two")
     )
 
 
+def _kept(low: str | Column, hashes: str | Column) -> Column:
+    return F.when(F.size(low) > 0, F.sort_array(F.array_distinct(low))).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _low(hashes: str | Column) -> Column:
+    return F.filter(hashes, lambda h: h < (1 << HASH_BITS) // SCALE)
+
+
+def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with a sorted array of the kept hashes of a non-null text.
+
+    Where no hash falls below the threshold, the smallest stands in, so that only texts without words have an empty sketch.
+    """
+    return with_shingles(df, text, "_five").withColumn("_low", _low("_five")).withColumn(out, _kept("_low", "_five")).drop("_five", "_low")
+
+
+def stand_in(sketch: str) -> Column:
+    """Whether a sketch holds only the hash that stands in for those below the threshold."""
+    return (F.size(sketch) == 1) & (F.get(sketch, F.lit(0)) >= (1 << HASH_BITS) // SCALE)
+
+
 def likeness(a: str, b: str) -> Column:
     """Share of the union that both have; 1 where both are empty."""
     both = F.size(F.array_intersect(a, b))
@@ -53,15 +69,21 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union).cast("double")
 
 
-def containment(a: str, b: str) -> Column:
-    """Share of the smaller one that the other has; 1 where it is empty."""
+def shared(a: str, b: str) -> Column:
+    """Share of the smaller set of hashes that the other has; 1 where it is empty."""
     least = F.least(F.size(a), F.size(b))
     return F.when(least == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / least).cast("double")
 
 
+def containment(a: str, b: str) -> Column:
+    """Share of the smaller sketch that the other has; null where a hash only stands in, as a longer text need not keep it."""
+    return F.when(~(stand_in(a) | stand_in(b)), shared(a, b))
+
+
 def merged(sketches: Column) -> Column:
-    """The sketch of all texts of a group, from an aggregate's array of sketches."""
-    return F.sort_array(F.array_distinct(F.flatten(sketches)))
+    """The sketch of all texts of a group, from an aggregate's array of sketches. A hash stands in only where none is below the threshold."""
+    every = F.flatten(sketches)
+    return _kept(_low(every), every)
 
 
 def printed(sketch: str) -> Column:
@@ -106,15 +128,20 @@ def with_next(df: DataFrame, key: Column, values: list[str]) -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     """A row a document: fingerprints of its text and of its edited text, whose last third is the beginning of the next document.
 
-    Null texts count as empty; equal texts have equal fingerprints; a table of one row follows itself.
+    Null texts count as empty; equal texts have equal fingerprints; a table of one row follows itself. Containment is read off the
+    sketches, and where one of them is only a stand-in, off all shingles.
     """
     base = with_sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch")
     rows = with_next(base, F.col("doc_id"), ["text", "sketch"]).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
-    rows = rows.withColumn("edited", edited).drop("text", "next_text")
-    return with_sketch(rows, "edited", "edited_sketch").select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed("sketch").alias("fingerprint"), printed("edited_sketch").alias("edited_fingerprint"),
+    rows = with_sketch(rows.withColumn("edited", edited), "edited", "edited_sketch")
+    rows = rows.withColumn("_few", stand_in("sketch") | stand_in("edited_sketch") | stand_in("next_sketch")).withColumn("edited_sha256", F.sha2("edited", 256))
+    for text in ("text", "edited", "next_text"):  # shingles of few rows: short texts and what they are held against
+        rows = with_shingles(rows.withColumn(text, F.when(F.col("_few"), F.col(text))), text, f"_all_{text}").withColumn(f"_all_{text}", F.array_distinct(f"_all_{text}")).drop(text)
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", printed("sketch").alias("fingerprint"), printed("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
-        containment("sketch", "edited_sketch").alias("contained_edited"), containment("sketch", "next_sketch").alias("contained_next"),
+        F.coalesce(containment("sketch", "edited_sketch"), shared("_all_text", "_all_edited")).alias("contained_edited"),
+        F.coalesce(containment("sketch", "next_sketch"), shared("_all_text", "_all_next_text")).alias("contained_next"),
     )

@@ -313,6 +313,25 @@ def test_fingerprint(docs):
     assert len(fingerprint.query(docs).collect()) == len(ROWS)
 
 
+def test_fingerprint_of_short_texts(spark):
+    """A short text inside a long one is contained in it, and merged sketches are that of the joined text."""
+    long = prose(600)
+    ws = long.split()
+    rows = [(2 * k + 1, " ".join(ws[20 * k : 20 * k + 4 + 5])) for k in range(25)] + [(2 * k, long) for k in range(25)]
+    assert sum(min(_sketch(t)) >= 2**45 for _, t in rows) > 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprint.query(frame).collect()
+    assert {r["contained_next"] for r in got if r["doc_id"] % 2} == {1.0}
+    short = [" ".join(ws[20 * k : 20 * k + 9]) for k in range(25)]
+    for group in (short[:2], [t for t in short if min(_sketch(t)) >= 2**45][:2], [*short[:3], long]):
+        made = fingerprint.with_sketch(spark.createDataFrame([(t,) for t in group], "text string"), "text", "s")
+        hashes = set().union(*map(_sketch, group))
+        low = {x for x in hashes if x < 2**45} or {min(hashes)}
+        assert made.agg(fingerprint.merged(F.collect_list("s")).alias("m")).first()["m"] == sorted(low)
+        for r in made.select(fingerprint.containment("s", "s").alias("c"), "s").collect():
+            assert r["c"] == (None if r["s"][0] >= 2**45 else 1.0)
+
+
 def test_secrets(docs):
     import re
 
