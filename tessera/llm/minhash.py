@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Powers, batches, cut, drop_cut, lookup_unique, mix, word_hashes
+from tessera.llm.common import WHITE, Powers, batches, cut, drop_cut, lookup_unique, mix, word_hashes
 from tessera.llm.components import components
 
 SHINGLE, PER_CENT = 5, 75
@@ -275,12 +275,20 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: that of the smallest doc_id, once even where the row is repeated."""
-    kept = cut(query(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    rows = docs.join(kept, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
+    """One row of docs for each component: that of the smallest doc_id, once even where the row is repeated.
+
+    Rows without an id are linked by one made of their text, above all others, and stay only where no row of their component has an
+    id. Those without words are their own components.
+    """
+    made = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    nameless, wordless = F.col("doc_id").isNull(), F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == ""
+    named = docs.where(~(nameless & wordless)).withColumn("_no_id", nameless).withColumn("doc_id", F.coalesce("doc_id", made))
+    kept = cut(query(named).where("kept").select("doc_id").distinct())
+    rows = named.join(kept, "doc_id", "left_semi")
+    repeated = named.groupBy("doc_id").count().where("count > 1").limit(1).count()
     rows = rows.dropDuplicates(["doc_id"]) if repeated else rows
-    return rows.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rows = rows.withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id")))
+    return rows.select(*docs.columns).unionByName(docs.where(nameless & wordless))
 
 
 SQL = r"""

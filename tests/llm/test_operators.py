@@ -165,6 +165,17 @@ def test_minhash(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in sets if find(i) == i)
 
 
+def test_minhash_without_ids(spark):
+    """Copies without an id go: those of documents that have one, and all but one of the others."""
+    a, b, c = (prose(200) for _ in range(3))
+    near = " ".join(["changed", *b.split()[1:]])
+    rows = [(1, a), (None, a), (None, a), (None, b), (None, b), (None, near), (2, c), (None, "  "), (None, None)]
+    got = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"]) == [1, 2]
+    left = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(left) == 3 and "  " in left and None in left and sum(t in (b, near) for t in left) == 1
+
+
 def test_minhash_chain(spark):
     """A long chain whose ends share little, and a group of copies that are near one base: one component each."""
     base, rows = prose(400).split(), []
