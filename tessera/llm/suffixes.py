@@ -12,36 +12,49 @@ def suffix_array(text: list[int]) -> list[int]:
     Lyndon prefix of a suffix in the group taken ends there, and it goes on the end of that of the nearest suffix before it in a
     lower group. Such suffixes leave their group for new ones right behind it, the more prefixes they have taken up the higher.
 
+    Members of a group may come in any order: one whose pointer depends on another's waits for it. Symbols and levels are bucketed, so no
+    step compares suffixes.
+
     Then each group is put in order without another look at the text: suffixes are read in ascending order, and each gives the next
     free place of their groups to those before it that have no smaller suffix nearer. Both passes walk by the same pointers to the
     previous smaller group.
     """
     n = len(text) + 1
     text = [*text, 0]
-    order = sorted(range(n), key=text.__getitem__)
+    symbols: list[list[int]] = [[] for _ in range(max(text) + 1)]
+    for i, c in enumerate(text):
+        symbols[c].append(i)
+    order: list[int] = []
     rank, group, size = [0] * n, [0] * n, [0] * n
-    start = 0
-    for at, i in enumerate(order):
-        if text[i] != text[order[start]]:
-            start = at
-        rank[i], group[i] = at, start
-        size[start] += 1
-    smaller = [-1] * n
+    for starts in symbols:
+        first = len(order)
+        for at, i in enumerate(starts, first):
+            rank[i], group[i] = at, first
+        order += starts
+        if starts:
+            size[first] = len(starts)
+    unset = -2
+    smaller = [unset] * n
     end = n
     while end > 0:
         g = group[order[end - 1]]
         members = order[g:end]
         end = g
-        if len(members) > 1:
-            members.sort()
         taken: dict[int, int] = {}
-        for i in members:
-            p = i - 1
-            while p >= 0 and group[p] >= g:
-                p = smaller[p]
-            smaller[i] = p
-            if p >= 0:
-                taken[p] = taken.get(p, 0) + 1
+        for member in members:
+            waiting = [member] if smaller[member] == unset else []
+            while waiting:
+                i = waiting[-1]
+                p = i - 1
+                while p >= 0 and group[p] >= g and smaller[p] != unset:
+                    p = smaller[p]
+                if p >= 0 and group[p] == g:  # a member further left that waits for its own pointer
+                    waiting.append(p)
+                    continue
+                waiting.pop()
+                smaller[i] = p
+                if p >= 0:
+                    taken[p] = taken.get(p, 0) + 1
         if not taken:
             continue
         if len(taken) == 1:

@@ -289,6 +289,28 @@ def test_repeated_strings(docs, most, monkeypatch):
             assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[i]
 
 
+def test_repeated_strings_in_large_groups(spark):
+    """A text longer than the pieces that are read at once, and passages between thousands of different neighbours."""
+    long = prose(60_000)
+    assert len(long) > substrings.STEP
+    passage, other = prose(90)[:420], prose(90)[:380]
+    rows = [(k, f"{prose(12)[:40]} {k % 7}{passage}{k % 11} {prose(12)[:45]}", None) for k in range(1500)]
+    rows += [(2000 + k, f"{k % 3}{prose(3)[:8]}{other}{prose(3)[:8]}{k % 2}", None) for k in range(900)]
+    rows += [(5000, long, None), (5001, prose(500) + long[255_000:270_000] + prose(500), None), (5002, long[:700] + prose(30) + long[-900:], None)]
+    seen = Counter()
+    raws = {d: t.encode() for d, t, _ in rows}
+    for raw in raws.values():
+        seen.update(hash(raw[i : i + 400]) for i in range(len(raw) - 399))
+    got = by_id(substrings.query(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    for d, raw in raws.items():
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 399):
+            if seen[hash(raw[i : i + 400])] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        assert (got[d][0]["n_removed"], got[d][0]["kept_sha256"]) == (sum(gone), hashlib.sha256(kept).hexdigest()), d
+
+
 def _sketch(text):
     """The fixed hashes: xxHash64 with seed 42; of several values each seeds the next."""
     text = (text or "").lower()
