@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,13 +25,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; where it is unset, as in tests, a new one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset: a new folder if Spark runs in this process alone, as in tests, else one in the warehouse, which is shared too.
+    """
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if said:
+        return said
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return _own_dir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera"
 
 
 @cache
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    made = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
+
+
+#: Tables that cut() wrote and that are still there, oldest first.
+CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the tables of cut() from the given number on, except that of `but`; for callers that have read or written the results."""
+    keep = {name.rpartition("/")[0].rpartition("/")[2] for name in but.inputFiles()} if but is not None else set()
+    for path in [p for p in CUTS[since:] if p.rpartition("/")[2] not in keep]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in CUTS:
+        CUTS.remove(path)
 
 
 def cut(df: DataFrame, less: int = 1) -> DataFrame:
@@ -41,15 +72,15 @@ def cut(df: DataFrame, less: int = 1) -> DataFrame:
         df = df.coalesce(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // less))
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that cut() made and that nothing will read again."""
-    spark = df.sparkSession
-    for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    names = {name.rpartition("/")[0].rpartition("/")[2] for name in df.inputFiles()}
+    for path in [p for p in CUTS if p.rpartition("/")[2] in names]:
+        _delete(df.sparkSession, path)
 
 
 def words(text: Column) -> Column:
@@ -64,8 +95,8 @@ def lookup_unique(rows: DataFrame, unique: DataFrame, key: str, count: str, hot_
     Keys with over 1/hot_share of all rows are fewer than hot_share by arithmetic; they are broadcast, so that their rows are not
     shuffled. The other keys have few rows each and meet in a shuffle join. unique is read several times: give it a table.
     """
-    least = F.broadcast(unique.agg((F.sum(count) / hot_share).alias("_least")))
-    hot = [r[0] for r in unique.crossJoin(least).where(F.col(count) > F.col("_least")).select(key).collect()]
+    every = unique.agg(F.sum(count)).first()[0] or 0
+    hot = [r[0] for r in unique.where(F.col(count) > every / hot_share).select(key).collect()]
     unique = unique if keep else unique.drop(count)
     if not hot:
         return rows.join(unique, key)

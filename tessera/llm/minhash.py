@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WHITE, Powers, batches, cut, drop_cut, lookup_unique, mix, word_hashes
@@ -86,8 +86,19 @@ def keys(sigs: np.ndarray) -> np.ndarray:
     return out
 
 
+def digest(x: np.ndarray) -> bytes:
+    """Digest of a set of hashes: its size and two sums over it."""
+    with np.errstate(over="ignore"):
+        return np.array([len(x), mix(x).sum(dtype=np.uint64), mix(x ^ np.uint64(len(x))).sum(dtype=np.uint64)], np.uint64).tobytes()
+
+
+def row_key() -> Column:
+    """Alike for rows with equal id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), cls (digest of the set), sig; cls and sig null for texts without words."""
+    """doc_id, row (its row_key), n (distinct shingles), cls (digest of the set), sig; cls and sig null for texts without words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
@@ -95,11 +106,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = distinct_sets(rows["text"].tolist(), powers)
             n = np.array([len(x) for x in sets], np.int64)
             sig = iter(signatures([x for x in sets if len(x)]))
-            with np.errstate(over="ignore"):
-                cls = [np.array([len(x), mix(x).sum(dtype=np.uint64), mix(x ^ np.uint64(len(x))).sum(dtype=np.uint64)], np.uint64).tobytes() if len(x) else None for x in sets]
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n": n, "cls": cls, "sig": [next(sig).tobytes() if c else None for c in cls]})
+            cls = [digest(x) if len(x) else None for x in sets]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "row": rows["row"].to_numpy(), "n": n, "cls": cls, "sig": [next(sig).tobytes() if c else None for c in cls]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, cls binary, sig binary")
+    # ids travel as text: a column of numbers with nulls would come as floating point
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key().alias("row"), "text")
+    found = rows.mapInPandas(run, "doc_id string, row long, n long, cls binary, sig binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keyed(reps: DataFrame) -> DataFrame:
@@ -115,19 +128,22 @@ def keyed(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInPandas(run, "key long, id long")
 
 
-def candidates(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, sig, set (sorted 64-bit hashes) of the documents in ids."""
+def candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, n, set (sorted 64-bit hashes) of the classes wanted (id, row, cls, copies), each from a text of the row that stands for it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = Powers()
+        powers, seen = Powers(), set()
         for rows in batches(frames, 2_000_000):
             sets = distinct_sets(rows["text"].tolist(), powers)
-            full = np.array([len(x) > 0 for x in sets])
-            sets = [x for x in sets if len(x)]
-            yield pd.DataFrame({"id": rows["id"].to_numpy()[full], "n": [len(x) for x in sets], "sig": [x.tobytes() for x in signatures(sets)], "set": [x.tobytes() for x in sets]})
+            # of rows that are repeated one a task is enough; another text with an equal key has another digest
+            new = [k for k, (i, x, c) in enumerate(zip(rows["id"], sets, rows["cls"], strict=True)) if i not in seen and digest(x) == c]
+            new = list({rows["id"].iat[k]: k for k in new}.values())
+            seen.update(rows["id"].iloc[new])
+            if new:
+                yield pd.DataFrame({"id": rows["id"].iloc[new].to_numpy(), "n": [len(sets[k]) for k in new], "set": [sets[k].tobytes() for k in new]})
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    return rows.mapInPandas(run, "id long, n long, sig binary, set binary")
+    rows = lookup_unique(docs.select(row_key().alias("row"), "text"), wanted, "row", "copies").select("id", "cls", "text")
+    return rows.mapInPandas(run, "id long, n long, set binary").dropDuplicates(["id"])
 
 
 _PAIR = "a long, b long, la long, lb long"
@@ -150,12 +166,12 @@ def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows | {"shingle": np.frombuffer(b"".join(part["set"]), np.int64)})
 
     ids = shared.select("id", "label").distinct()
-    rows = cut(known.join(ids, "id").select("id", "label", "n", "set").mapInPandas(run, "id long, label long, n long, shingle long"), 4)
-    often = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), 4)
+    rows = cut(known.join(ids, "id").select("id", "label", "n", "set").mapInPandas(run, "id long, label long, n long, shingle long"))
+    often = cut(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))
     # one without the other's first shingles has at most this rank for its first common one
     early = F.col("rank") * 100 <= F.col("n") * (100 - PER_CENT) + 100
-    ranked = cut(lookup_unique(rows, often, "shingle", "often", keep=True).withColumn("rank", rank).where(early & (F.col("often") > 1)).drop("often"), 4)
+    ranked = cut(lookup_unique(rows, often, "shingle", "often", keep=True).withColumn("rank", rank).where(early & (F.col("often") > 1)).drop("often"))
     drop_cut(rows)
     drop_cut(often)
     x, y = ranked.alias("x"), ranked.alias("y")
@@ -176,6 +192,11 @@ def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b, la, lb) whose full sets have 100 * intersection >= PER_CENT * union."""
+    a, b = (known.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("set").alias(f"x{side}")) for side in "ab")
+    # sizes alone rule most out before the sets are fetched
+    light = known.select("id", "n")
+    sized = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(light.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    fits = sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PER_CENT).select("a", "b", "la", "lb")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -184,22 +205,21 @@ def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= PER_CENT * (len(p) + len(q) - both))
-            if keep:
+            if any(keep):
                 yield frame.loc[keep, ["a", "b", "la", "lb"]]
 
-    a, b = known.select(F.col("id").alias("a"), F.col("set").alias("xa")), known.select(F.col("id").alias("b"), F.col("set").alias("xb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "xa", "xb").mapInPandas(run, _PAIR)
+    return fits.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "xa", "xb").mapInPandas(run, _PAIR)
 
 
-def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """id, label of the representatives (id, sig) that are linked with others: the components of all links between them."""
-    all_keys = cut(keyed(reps))
+def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, label of the classes (id, row, cls, sig, copies) that are linked with others: the components of all links between them."""
+    all_keys = cut(keyed(classes))
     counted = cut(all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), 8)
     # rows of keys that are shared: key, id, and a label that only connected documents have in common
-    shared = cut(lookup_unique(all_keys, counted, "key", "n").select("key", "id", F.col("id").alias("label")), 8)
+    shared = cut(lookup_unique(all_keys, counted, "key", "n").select("key", "id", F.col("id").alias("label")))
     drop_cut(all_keys)
     drop_cut(counted)
-    known = cut(candidates(docs, shared.select("id").distinct()), 8)
+    known = cut(candidates(docs, cut(classes.select("id", "row", "cls", "copies").join(shared.select("id").distinct(), "id", "left_semi"))))
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
     for i in range(ROUNDS + 1):
@@ -255,40 +275,61 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return components(found)
 
 
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, n, cls) and classes (id, cls, copies, label): texts with equal sets are one class, linked classes share a label."""
+    rows = cut(sketches(docs))
+    # equal sets have equal sizes and signatures; any row of the class can stand for it
+    classes = rows.where("cls IS NOT NULL").groupBy("cls", "n", "sig").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    labels = linked(docs, classes)
+    return rows.select("doc_id", "row", "n", "cls"), cut(classes.join(labels, "id", "left").select("id", "cls", "copies", F.coalesce("label", "id").alias("label")))
+
+
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
-    Texts with equal sets are one class, compared once. Rows without words are their own component. Rows with the same doc_id count
-    as one document; a null doc_id gets no component and is kept, unless its class has an id.
+    Texts with equal sets are one class, compared once, so repeated rows and ties cost nothing. Rows without words (null, empty or
+    white texts) are their own component. A doc_id with several texts is one document, linked by each of them. Rows with a null
+    doc_id link others by their text like any row, and get the component_id of those, or none where no row there has an id; they are
+    kept only there. Long texts go through whole, one text at a time. An empty table gives an empty result; other columns play no part.
     """
-    rows = cut(sketches(docs))
-    classes = cut(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    reps = rows.where("cls IS NOT NULL").select(F.col("doc_id").alias("id"), "n", "cls", "sig").join(classes.select("id", "cls"), ["id", "cls"], "left_semi")
-    reps = cut(reps.select("id", "n", "sig").dropDuplicates(["id"]))
-    labels = linked(docs, reps)
-    classes = cut(classes.join(labels, "id", "left").select("cls", "copies", F.coalesce("label", "id").alias("component_id")))
-    light = rows.select("doc_id", "n", "cls")
-    found = lookup_unique(light.where("cls IS NOT NULL"), classes, "cls", "copies").select("doc_id", "n", "component_id")
-    alone = light.where("cls IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    both = found.unionByName(alone)
+    rows, classes = classified(docs)
+    found = cut(lookup_unique(rows.where("cls IS NOT NULL"), classes, "cls", "copies").select("doc_id", "n", "label"))
+    # documents with several texts link the components of these
+    per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("doc_id", "a")
+    more = cut(found.select("doc_id", F.col("label").alias("b")).join(per_id, "doc_id").select("a", "b").where("a <> b").distinct(), 8)
+    by_label = cut(found.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    if more.limit(1).count():
+        joined = components(more).select(F.col("id").alias("label"), F.col("label").alias("root"))
+        rooted = cut(by_label.join(joined, "label", "left").withColumn("root", F.coalesce("root", "label")))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        by_label = cut(rooted.join(least, "root").select("label", "component_id", "rows"))
+    else:
+        by_label = by_label.withColumnRenamed("least", "component_id")
+    both = lookup_unique(found, by_label, "label", "rows").select("doc_id", "n", "component_id")
+    both = both.unionByName(rows.where("cls IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return both.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: that of the smallest doc_id, once even where the row is repeated.
+    """One row of docs for each group of near copies: that of the smallest doc_id, one without an id only where no row there has one.
 
-    Rows without an id are linked by one made of their text, above all others, and stay only where no row of their component has an
-    id. Those without words are their own components.
+    Texts alone link rows here, so a second text under an id stays where it has no copy. Rows without words are their own groups,
+    but rows that are repeated, with the same id and text, stay once; those without id and words all stay.
     """
-    made = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
-    nameless, wordless = F.col("doc_id").isNull(), F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == ""
-    named = docs.where(~(nameless & wordless)).withColumn("_no_id", nameless).withColumn("doc_id", F.coalesce("doc_id", made))
-    kept = cut(query(named).where("kept").select("doc_id").distinct())
-    rows = named.join(kept, "doc_id", "left_semi")
-    repeated = named.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    rows = rows.dropDuplicates(["doc_id"]) if repeated else rows
-    rows = rows.withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id")))
-    return rows.select(*docs.columns).unionByName(docs.where(nameless & wordless))
+    rows, classes = classified(docs)
+    found = lookup_unique(rows.where("cls IS NOT NULL"), classes, "cls", "copies").select("doc_id", "row", "label")
+    choice = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    stay = found.groupBy("label").agg(F.min(choice).alias("c")).select(F.col("c.row").alias("_row"))
+    stay = stay.unionByName(rows.where("cls IS NULL AND doc_id IS NOT NULL").select(F.col("row").alias("_row"))).distinct()
+    nameless = F.col("doc_id").isNull() & (F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == "")
+    marked = docs.where(~nameless).withColumn("_row", row_key())
+    copies = rows.groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("_copies"))
+    stay = cut(stay.join(copies, "_row"))
+    once, repeated = stay.where("_copies = 1"), stay.where("_copies > 1")
+    kept = marked.join(once, "_row", "left_semi")
+    again = lookup_unique(marked, cut(repeated), "_row", "_copies").dropDuplicates(["_row"])
+    return kept.select(*docs.columns).unionByName(again.select(*docs.columns)).unionByName(docs.where(nameless))
 
 
 SQL = r"""

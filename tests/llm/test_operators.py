@@ -176,6 +176,36 @@ def test_minhash_without_ids(spark):
     assert len(left) == 3 and "  " in left and None in left and sum(t in (b, near) for t in left) == 1
 
 
+def test_minhash_of_repeated_ids(spark):
+    """An id with two texts is one document that links both; ids are whole numbers beside nulls; nameless rows link others."""
+    big = 2**60 + 1
+    a, b, c = (prose(200) for _ in range(3))
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (big, c), (None, near(c)), (None, prose(50)), (None, ""), (7, prose(3000)), (7, prose(3000))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.query(frame).collect())
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (big, big, True), (None, big, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True)]
+    assert got == Counter(want)
+    kept = Counter(r["doc_id"] for r in minhash.deduplicated(frame).collect())
+    assert kept == Counter({1: 2, big: 1, None: 2, 7: 2})
+
+
+def test_minhash_recall_near_the_threshold(spark):
+    """Planted pairs of a similarity just above 0.75: the Hamming join with its later rounds finds each."""
+    rows, want = [], {}
+    for k in range(150):
+        ws = [f"w{k}x{i}" for i in range(124)]
+        other = list(ws)
+        for at in (20, 50, 95):  # 15 to 17 of 120 shingles change on each side
+            other[at] = f"e{k}x{at}"
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+        x, y = ({tuple(v[i : i + 5]) for i in range(120)} for v in (ws, other))
+        want[2 * k + 1] = 2 * k if 100 * len(x & y) >= 75 * len(x | y) else 2 * k + 1
+    assert sum(d != c for d, c in want.items()) == 150
+    got = {r["doc_id"]: r["component_id"] for r in minhash.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == c for d, c in want.items())
+
+
 def test_minhash_chain(spark):
     """A long chain whose ends share little, and a group of copies that are near one base: one component each."""
     base, rows = prose(400).split(), []
