@@ -126,6 +126,23 @@ def test_mixing(docs):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_of_equal_rows(spark):
+    """Sources of null ids, of equal rows and of one hot row come within a document of their targets, and reruns agree."""
+    rows = [(None, prose(10), "a") for _ in range(300)] + [(None, "one two three four", "b")] * 250 + [(5, prose(7), "c")] * 400 + [(k, prose(9), None) for k in range(200)]
+    rows += [(None, None, "d"), (None, "", "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.query(frame.repartition(5)).collect()
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        goal[r["source_size"]] = r["target"]
+    assert len(goal) == 5
+    assert all(abs(taken[s] - goal[s]) <= 10 for s in goal)
+    assert Counter(got) == Counter(mixing.query(frame.repartition(2)).collect())
+    mix = mixing.mixed(frame).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    assert sorted(r["n"] for r in mix) == sorted(n for n in taken.values() if n)
+
+
 def test_bpe(docs):
     path = public_tokenizers.path(bpe.VOCABULARY)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
