@@ -1,16 +1,34 @@
-"""A small causal self-attention model in numpy: one head over WINDOW tokens, trained by Adam, scored in overlapping windows."""
+"""A small causal self-attention model in numpy: one head over WINDOW tokens, trained by Adam, scored in overlapping windows.
+
+A token comes in as the mean of the embeddings of its pieces, such as a word's subword ids, and goes out as one of g groups.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-WINDOW, STRIDE, WIDTH = 32, 16, 16
-SHAPES = {"embed": lambda g: (g + 1, WIDTH), "place": lambda g: (WINDOW, WIDTH), "q": lambda g: (WIDTH, WIDTH), "k": lambda g: (WIDTH, WIDTH), "v": lambda g: (WIDTH, WIDTH), "own": lambda g: (WIDTH, WIDTH), "out": lambda g: (WIDTH, g), "bias": lambda g: (g,)}
+WINDOW, STRIDE, WIDTH, RATE = 32, 16, 16, 8e-3
+#: Rows of embeddings; one more stands before a text's first token.
+ROWS = 4096
+SHAPES = {"embed": lambda g: (ROWS + 1, WIDTH), "place": lambda g: (WINDOW, WIDTH), "q": lambda g: (WIDTH, WIDTH), "k": lambda g: (WIDTH, WIDTH), "v": lambda g: (WIDTH, WIDTH), "own": lambda g: (WIDTH, WIDTH), "out": lambda g: (WIDTH, g), "bias": lambda g: (g,)}
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
 
 
+class Pieces:
+    """The rows of embeddings that each token of a list has, end to end."""
+
+    def __init__(self, rows: np.ndarray, counts: np.ndarray) -> None:
+        self.rows, self.counts, self.starts = rows, counts, np.cumsum(counts) - counts
+
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the given tokens end to end, where each token's begin, and how many each has."""
+        n = self.counts[tokens]
+        ends = np.cumsum(n)
+        return self.rows[np.repeat(self.starts[tokens] - ends + n, n) + np.arange(ends[-1])], ends - n, n
+
+
 class Attention:
-    """Predicts token t of classes 0 to g - 1 from those before it; class g stands before the first."""
+    """Predicts the group, 0 to g - 1, of token t from the tokens before it."""
 
     def __init__(self, g: int, weights: np.ndarray | None = None, shares: np.ndarray | None = None) -> None:
         self.g = g
@@ -29,10 +47,14 @@ class Attention:
             self.w[k] = self.flat[at : at + n].reshape(s)
             at += n
 
-    def _forward(self, inputs: np.ndarray, first: int = 0) -> tuple:
-        """Hidden states of the positions from first on, and what the gradient needs. inputs: batch x WINDOW."""
+    def embedded(self, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        rows, starts, n = pieces
+        return np.add.reduceat(self.w["embed"][rows], starts, axis=0) / n[:, None].astype(np.float32)
+
+    def _forward(self, x: np.ndarray, first: int = 0) -> tuple:
+        """Hidden states of the positions from first on, and what the gradient needs. x: batch x WINDOW x WIDTH, embedded tokens."""
         w = self.w
-        x = w["embed"][inputs] + w["place"]
+        x = x + w["place"]
         flat = x.reshape(-1, WIDTH)
         k, v = ((flat @ w[n]).reshape(x.shape) for n in ("k", "v"))
         tail = np.ascontiguousarray(x[:, first:])
@@ -45,10 +67,14 @@ class Attention:
         h = np.tanh(mixed.reshape(-1, WIDTH) + tail.reshape(-1, WIDTH) @ w["own"])
         return x, q, k, v, s, h
 
-    def train_step(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, state: dict, rate: float = 3e-3) -> float:
-        """One step of Adam over a batch; real marks the positions that hold tokens. Returns the mean loss before it."""
+    def train_step(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, state: dict, rate: float = RATE, pieces: Pieces | None = None) -> float:
+        """One step of Adam over a batch; real marks the positions that hold tokens. Returns the mean loss before it.
+
+        inputs are tokens of pieces, or rows of embeddings themselves; targets are groups.
+        """
         w, (b, n) = self.w, inputs.shape
-        x, q, k, v, s, h = self._forward(inputs)
+        rows, starts, counts = (pieces or IDENTITY).of(inputs.ravel())
+        x, q, k, v, s, h = self._forward(self.embedded((rows, starts, counts)).reshape(b, n, WIDTH))
         logits = h @ w["out"] + w["bias"]
         logits -= logits.max(-1, keepdims=True)
         p = np.exp(logits)
@@ -77,51 +103,71 @@ class Attention:
         dx = dx.reshape(x.shape)
         grad["place"] = dx.sum(0)
         grad["embed"] = np.zeros_like(w["embed"])
-        np.add.at(grad["embed"], inputs.ravel(), dx.reshape(-1, WIDTH))
+        each = dx.reshape(-1, WIDTH) / counts[:, None].astype(np.float32)
+        np.add.at(grad["embed"], rows, np.repeat(each, counts, axis=0) if len(rows) > len(each) else each)
         step = np.concatenate([grad[name].ravel() for name in SHAPES]).astype(np.float32)
-        state["n"] = i = state.get("n", 0) + 1
-        m = state["m"] = 0.9 * state.get("m", 0) + 0.1 * step
-        r = state["r"] = 0.99 * state.get("r", 0) + 0.01 * step * step
-        self.flat -= rate * (m / (1 - 0.9**i)) / (np.sqrt(r / (1 - 0.99**i)) + 1e-8)
+        if not state:
+            state.update(n=0, m=np.zeros_like(step), r=np.zeros_like(step))
+        state["n"] = i = state["n"] + 1
+        m, r = state["m"], state["r"]
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * step
+        step *= step
+        r *= np.float32(0.99)
+        r += np.float32(0.01) * step
+        np.sqrt(r, out=step)
+        step += np.float32(1e-8)
+        np.divide(m, step, out=step)
+        step *= np.float32(rate / (1 - 0.9**i) * np.sqrt(1 - 0.99**i))
+        self.flat -= step
         return loss
 
-    def score(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each token's probability; tokens of all texts in a row, lengths of the texts, none 0."""
-        inputs, at, first = windows(tokens, lengths, self.g)
+    def score(self, tokens: np.ndarray, lengths: np.ndarray, groups: np.ndarray | None = None, pieces: Pieces | None = None) -> np.ndarray:
+        """Natural logarithm of the probability of each token's group; tokens of all texts in a row, lengths of the texts, none 0.
+
+        groups: the group of each token (the token itself where none are given). The last of the pieces stands before a text.
+        """
+        groups = tokens if groups is None else groups
+        before = self.g if pieces is None else len(pieces.counts) - 1
+        table = self.w["embed"] if pieces is None else self.embedded((pieces.rows, pieces.starts, pieces.counts))
+        inputs, at, first = windows(tokens, lengths, before)
         out = np.zeros(len(tokens), np.float32)
         for head in (True, False):
             rows = np.flatnonzero(first == head)
             begin = 0 if head else WINDOW - STRIDE
-            for i in range(0, len(rows), 2048):
-                part = rows[i : i + 2048]
-                h = self._forward(inputs[part], begin)[-1]
+            for i in range(0, len(rows), 1024):
+                part = rows[i : i + 1024]
+                h = self._forward(table[inputs[part]], begin)[-1]
                 spots = at[part, begin:].ravel()
                 real = spots >= 0
                 h, spots = h[real], spots[real]
                 logits = h @ self.w["out"] + self.w["bias"]
                 top = logits.max(-1)
-                chosen = logits[np.arange(len(spots)), tokens[spots]] - top
+                chosen = logits[np.arange(len(spots)), groups[spots]] - top
                 logits -= top[:, None]
                 np.exp(logits, out=logits)
                 out[spots] = chosen - np.log(logits.sum(-1))
         return out
 
 
-def windows(tokens: np.ndarray, lengths: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+IDENTITY = Pieces(np.arange(ROWS + 1), np.ones(ROWS + 1, np.int64))
+
+
+def windows(tokens: np.ndarray, lengths: np.ndarray, before: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """inputs (windows x WINDOW), the index of the token that each position predicts or -1, and which windows are a text's first.
 
-    Windows of a text start STRIDE apart. The first scores all its positions, later ones their last STRIDE, so each token is scored
-    once, with WINDOW - STRIDE tokens before it at least where the text has them.
+    Windows of a text start stride apart. The first scores all its positions, later ones their last stride, so each token is scored
+    once, with WINDOW - stride tokens before it at least where the text has them.
     """
     shifted = np.empty(len(tokens), np.int64)
     shifted[1:] = tokens[:-1]
     ends = np.cumsum(lengths)
     starts = ends - lengths
     shifted[starts] = before
-    per = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+    per = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
     text = np.repeat(np.arange(len(lengths)), per)
     turn = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    at = (starts[text] + turn * STRIDE)[:, None] + np.arange(WINDOW)
+    at = (starts[text] + turn * stride)[:, None] + np.arange(WINDOW)
     real = at < ends[text][:, None]
     inputs = np.where(real, shifted[np.minimum(at, max(0, len(tokens) - 1))], before)
     return inputs, np.where(real, at, -1), turn == 0

@@ -16,7 +16,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import batches
+from tessera.llm.common import batches, by_document
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: A space with white space beside it or at an end of the text; a space without.
@@ -146,7 +146,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_toke
             n = [i.count(",") + 1 if i else 0 for i in ids]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "n_tokens": n, "ids": ids, "decoded": [codec.decode(i) for i in ids]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids string, decoded binary")
+    return by_document(docs.select("doc_id", "text"), run, "n_tokens long, ids string, decoded binary")
 
 
 def query(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -162,4 +162,4 @@ def query(docs: DataFrame, path: str | None = None, pattern: str = public_tokeni
                 out.append((doc, ids.count(",") + 1 if ids else 0, digest(ids.encode()), digest(codec.decode(ids))))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_document(docs.select("doc_id", "text"), run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

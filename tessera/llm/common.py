@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -168,6 +168,15 @@ def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, power
         return mix((sums[ends] - sums[starts]) * powers.down[starts] ^ ((ends - starts).astype(np.uint64) * _ODD))
 
 
+def by_document(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInPandas over rows with a doc_id, which run passes on as it gets it; schema: its other columns.
+
+    On its way the id is text, as pandas would take a column of whole numbers with nulls for floating point.
+    """
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def batches(frames: Iterator, most_chars: int = 8_000_000) -> Iterator:
     """Parts of pandas frames with about most_chars characters of text, so that memory stays bounded."""
     for frame in frames:

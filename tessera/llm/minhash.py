@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WHITE, Powers, batches, cut, drop_cut, lookup_unique, mix, word_hashes
+from tessera.llm.common import WHITE, Powers, batches, by_document, cut, drop_cut, lookup_unique, mix, word_hashes
 from tessera.llm.components import components
 
 SHINGLE, PER_CENT = 5, 75
@@ -109,10 +109,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             cls = [digest(x) if len(x) else None for x in sets]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "row": rows["row"].to_numpy(), "n": n, "cls": cls, "sig": [next(sig).tobytes() if c else None for c in cls]})
 
-    # ids travel as text: a column of numbers with nulls would come as floating point
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key().alias("row"), "text")
-    found = rows.mapInPandas(run, "doc_id string, row long, n long, cls binary, sig binary")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return by_document(docs.select("doc_id", row_key().alias("row"), "text"), run, "row long, n long, cls binary, sig binary")
 
 
 def keyed(reps: DataFrame) -> DataFrame:

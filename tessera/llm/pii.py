@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches
+from tessera.llm.common import batches, by_document
 
 #: For tests and examples; give a secret of your own in production.
 KEY = b"tessera example key"
@@ -272,7 +272,7 @@ def query(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "text", "n_found", *[f"n_{k}" for k in NAMES], "spans"])
 
     counts = ", ".join(f"n_{k} long" for k in NAMES)
-    found = docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, text string, n_found long, {counts}, spans string")
+    found = by_document(docs.select("doc_id", "text"), run, f"text string, n_found long, {counts}, spans string")
     return found.withColumn("text_sha256", F.sha2("text", 256))
 
 

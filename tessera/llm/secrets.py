@@ -18,7 +18,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import batches
+from tessera.llm.common import batches, by_document
 
 # Fixed patterns of the base spans, in order; a match whose tested group is shorter is dropped.
 BASE = (
@@ -201,4 +201,4 @@ def query(docs: DataFrame) -> DataFrame:
                 out.append((doc, n[0], n[1], n[2], digest, said(base + [(a, len(BASE), b) for a, b in likely]), len(likely)))
             yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_likely"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_likely long")
+    return by_document(docs.select("doc_id", "text"), run, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_likely long")

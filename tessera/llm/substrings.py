@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Powers, batches, cut, drop_cut, lookup_unique, prefix_sums, stretch_hashes
+from tessera.llm.common import Powers, batches, by_document, cut, drop_cut, lookup_unique, prefix_sums, stretch_hashes
 from tessera.llm.suffixes import suffix_array
 
 LENGTH, SPARSE, CORE = 400, 100, 350
@@ -98,7 +98,7 @@ def sparse_minimizers(rows: DataFrame) -> DataFrame:
                 place = (digest ^ ((at - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[text], "key": part["key"].to_numpy()[text], "h": h.view(np.int64), "place": place, "first": (first - begin).astype(np.int32), "last": (last - begin).astype(np.int32)})
 
-    return rows.mapInPandas(run, "doc_id long, key long, h long, place long, first int, last int")
+    return by_document(rows, run, "key long, h long, place long, first int, last int")
 
 
 def contexts(suspects: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def contexts(suspects: DataFrame) -> DataFrame:
         if out:
             yield frame()
 
-    return suspects.mapInPandas(run, "doc_id long, key long, first int, n int, core binary, left binary, right binary, ctx binary")
+    return by_document(suspects, run, "key long, first int, n int, core binary, left binary, right binary, ctx binary")
 
 
 def runs(numbers: list[int]) -> list[tuple[int, int]]:
@@ -309,7 +309,7 @@ def stripped(partly: DataFrame) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "key", "n_removed", "n_spans", "kept"])
 
-    return partly.mapInPandas(run, "doc_id long, key long, n_removed long, n_spans long, kept binary")
+    return by_document(partly, run, "key long, n_removed long, n_spans long, kept binary")
 
 
 def query(docs: DataFrame) -> DataFrame:
