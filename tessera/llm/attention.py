@@ -11,7 +11,18 @@ WINDOW, STRIDE, WIDTH, RATE = 32, 16, 16, 8e-3
 #: Rows of embeddings; one more stands before a text's first token.
 ROWS = 4096
 SHAPES = {"embed": lambda g: (ROWS + 1, WIDTH), "place": lambda g: (WINDOW, WIDTH), "q": lambda g: (WIDTH, WIDTH), "k": lambda g: (WIDTH, WIDTH), "v": lambda g: (WIDTH, WIDTH), "own": lambda g: (WIDTH, WIDTH), "out": lambda g: (WIDTH, g), "bias": lambda g: (g,)}
-_MASK = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Logits beyond are cut, so that exponentials stay within single precision.
+_MOST = np.float32(40)
+
+
+def softmax(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """Along the last axis, in place; seen: what may have any weight."""
+    np.exp(np.clip(x, -_MOST, _MOST, out=x), out=x)
+    if seen is not None:
+        x *= seen
+    x /= x @ np.ones((x.shape[-1], 1), np.float32)
+    return x
 
 
 class Pieces:
@@ -49,7 +60,15 @@ class Attention:
 
     def embedded(self, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         rows, starts, n = pieces
-        return np.add.reduceat(self.w["embed"][rows], starts, axis=0) / n[:, None].astype(np.float32)
+        embed, most = self.w["embed"], int(n.max())
+        if most > 16:
+            return np.add.reduceat(embed[rows], starts, axis=0) / n[:, None].astype(np.float32)
+        out = embed[rows[starts]]
+        for j in range(1, most):
+            more = np.flatnonzero(n > j)
+            out[more] += embed[rows[starts[more] + j]]
+        out /= n[:, None].astype(np.float32)
+        return out
 
     def _forward(self, x: np.ndarray, first: int = 0) -> tuple:
         """Hidden states of the positions from first on, and what the gradient needs. x: batch x WINDOW x WIDTH, embedded tokens."""
@@ -59,13 +78,11 @@ class Attention:
         k, v = ((flat @ w[n]).reshape(x.shape) for n in ("k", "v"))
         tail = np.ascontiguousarray(x[:, first:])
         q = (tail.reshape(-1, WIDTH) @ w["q"]).reshape(tail.shape)
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _MASK[first:]
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
+        q *= np.float32(WIDTH**-0.5)
+        s = softmax(q @ k.transpose(0, 2, 1), _SEEN[first:])
         mixed = s @ v
         h = np.tanh(mixed.reshape(-1, WIDTH) + tail.reshape(-1, WIDTH) @ w["own"])
-        return x, q, k, v, s, h
+        return x, q, k, v, s, mixed, h
 
     def train_step(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, state: dict, rate: float = RATE, pieces: Pieces | None = None) -> float:
         """One step of Adam over a batch; real marks the positions that hold tokens. Returns the mean loss before it.
@@ -74,11 +91,8 @@ class Attention:
         """
         w, (b, n) = self.w, inputs.shape
         rows, starts, counts = (pieces or IDENTITY).of(inputs.ravel())
-        x, q, k, v, s, h = self._forward(self.embedded((rows, starts, counts)).reshape(b, n, WIDTH))
-        logits = h @ w["out"] + w["bias"]
-        logits -= logits.max(-1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(-1, keepdims=True)
+        x, q, k, v, s, mixed, h = self._forward(self.embedded((rows, starts, counts)).reshape(b, n, WIDTH))
+        p = softmax(h @ w["out"] + w["bias"])
         keep = real.ravel().astype(np.float32)
         count = max(1.0, float(keep.sum()))
         t = targets.ravel()
@@ -93,8 +107,9 @@ class Attention:
         dm = dh.reshape(b, n, WIDTH)
         dv = s.transpose(0, 2, 1) @ dm
         da = dm @ v.transpose(0, 2, 1)
-        ds = s * (da - (da * s).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        da -= (dm * mixed) @ np.ones((WIDTH, 1), np.float32)
+        ds = np.multiply(s, da, out=da)
+        dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
         dx = dh @ w["own"].T
         for name, g in (("q", dq), ("k", dk), ("v", dv)):
             g = g.reshape(-1, WIDTH)
@@ -102,9 +117,9 @@ class Attention:
             dx += g @ w[name].T
         dx = dx.reshape(x.shape)
         grad["place"] = dx.sum(0)
-        grad["embed"] = np.zeros_like(w["embed"])
         each = dx.reshape(-1, WIDTH) / counts[:, None].astype(np.float32)
-        np.add.at(grad["embed"], rows, np.repeat(each, counts, axis=0) if len(rows) > len(each) else each)
+        spots = (rows[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        grad["embed"] = np.bincount(spots, np.repeat(each, counts, axis=0).ravel(), minlength=w["embed"].size).astype(np.float32)
         step = np.concatenate([grad[name].ravel() for name in SHAPES]).astype(np.float32)
         if not state:
             state.update(n=0, m=np.zeros_like(step), r=np.zeros_like(step))
@@ -141,12 +156,8 @@ class Attention:
                 spots = at[part, begin:].ravel()
                 real = spots >= 0
                 h, spots = h[real], spots[real]
-                logits = h @ self.w["out"] + self.w["bias"]
-                top = logits.max(-1)
-                chosen = logits[np.arange(len(spots)), groups[spots]] - top
-                logits -= top[:, None]
-                np.exp(logits, out=logits)
-                out[spots] = chosen - np.log(logits.sum(-1))
+                p = softmax(h @ self.w["out"] + self.w["bias"])
+                out[spots] = np.log(np.maximum(p[np.arange(len(spots)), groups[spots]], np.float32(1e-30)))
         return out
 
 

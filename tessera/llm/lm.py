@@ -32,17 +32,18 @@ END = np.uint64(0xE7D)
 MOST_HOT = 1_000_000
 #: Every training document trains the attention weights once, in one of ROUNDS rounds. A round deals its documents to shards of about
 #: SHARD tokens by a hash of the row; each shard trains a model, BATCH windows a step, and the mean of these is where the next begins.
-ROUNDS, SHARD, BATCH = 2, 4_000_000, 32
+ROUNDS, SHARD, BATCH = 2, 2_000_000, 64
 #: Characters of a shard that are tokenised at once.
 AT_ONCE = 500_000
-LONGEST_ID, LONGEST_PART = 12, 64
+LONGEST_ID, LONGEST_PART = 6, 64
 #: Ids below it, the most frequent, have their own row of embeddings; the others share the rest.
 OWN_ROWS = 3072
 
 
 @lru_cache(2)
-def _entries(path: str) -> list[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """Of the vocabulary's entries that begin words, then of those that go on with them: sorted hashes, their ids, the lengths there are."""
+def _entries(path: str) -> list[tuple]:
+    """Of the vocabulary's entries that begin words, then of those that go on with them: sorted hashes, their ids, the lengths there are,
+    where the hashes with each choice of the 20 leading bits begin, and how many those are at most."""
     ranks, out = sorted(read_ranks(path).items(), key=lambda x: x[1]), []
     powers = Powers()
     for leading in (True, False):
@@ -56,19 +57,24 @@ def _entries(path: str) -> list[tuple[np.ndarray, np.ndarray, list[int]]]:
         starts = ends - [len(x) for x in found]
         hashes = stretch_hashes(prefix_sums(np.frombuffer(joined, np.uint8), powers), starts, ends, powers)
         order = np.argsort(hashes)
-        out.append((hashes[order], np.array(list(found.values()), np.int32)[order], sorted({len(x) for x in found}, reverse=True)))
+        slots = np.searchsorted(hashes[order] >> np.uint64(44), np.arange(2**20 + 1, dtype=np.uint64)).astype(np.int32)
+        most = int(np.diff(slots).max())
+        ids = np.array(list(found.values()), np.int32)[order]
+        out.append((np.append(hashes[order], np.zeros(most, np.uint64)), ids, sorted({len(x) for x in found}, reverse=True), slots, most))
     return out
 
 
 def _longest(starts: np.ndarray, ends: np.ndarray, sums: np.ndarray, powers: Powers, entries: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Id and length of the longest entry that begins each stretch raw[start:end]; every byte is an entry."""
-    hashes, ids, lengths = entries
+    hashes, ids, lengths, slots, most = entries
     out, long, left = np.zeros(len(starts), np.int32), np.ones(len(starts), np.int64), np.arange(len(starts))
     for n in lengths:
         here = ends[left] - starts[left] >= n
         fits = left[here]
         h = stretch_hashes(sums, starts[fits], starts[fits] + n, powers)
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        at = slots[h >> np.uint64(44)]
+        for _ in range(most - 1):
+            at += hashes[at] < h
         hit = hashes[at] == h
         out[fits[hit]], long[fits[hit]] = ids[at[hit]], n
         here[here] = hit
