@@ -14,13 +14,13 @@ from datetime import date, timedelta
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batches, by_document
 
-#: For tests and examples; give a secret of your own in production.
-KEY = b"tessera example key"
+#: The setting that holds the key in production, and the example key of tests where it is unset.
+KEY_SETTING, KEY = "spark.tessera.pii.key", b"tessera example key"
 ROUNDS = 10
 
 
@@ -83,14 +83,6 @@ def _card(f: Feistel, text: str, back: bool) -> str | None:
     return _refill(text, body + next(c for c in "0123456789" if luhn(body + c)))
 
 
-def _number(tweak: str) -> Replacer:
-    def run(f: Feistel, text: str, back: bool) -> str | None:
-        d = _digits(text)
-        return _refill(text, str(f.permute(int(d), 10 ** len(d), f"{tweak}{len(d)}", back)).zfill(len(d)))
-
-    return run
-
-
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
     """The country code stays."""
     head = re.match(r"\+\d{1,3}(?=[ (.-])", text)
@@ -164,6 +156,42 @@ def _date(order: str) -> Replacer:
     return run
 
 
+# Fixed names of months, in order.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_SHORT = tuple(m[:3] for m in MONTHS)
+
+
+def _named_date(order: str) -> Replacer:
+    """The same for dates whose month is an English name, whole or its first three letters, in the order of y, m and d.
+
+    May is both, so it stays May, and no other month becomes it; case, padding and what stands between the parts stay as well.
+    """
+
+    def run(f: Feistel, text: str, back: bool) -> str | None:
+        parts = re.split(r"([^0-9A-Za-z]+)", text)
+        said = dict(zip(order, parts[::2], strict=True))
+        names = MONTHS if said["m"].capitalize() in MONTHS else _SHORT
+        month = [n.lower() for n in names].index(said["m"].lower()) + 1
+        try:
+            n = (date(int(said["y"]), month, int(said["d"])) - _FIRST).days
+        except ValueError:
+            return None
+        if not 0 <= n < _DAYS:
+            return None
+        short = len(said["d"]) == 1 or said["d"][0] == "0"
+        while True:
+            n = f.permute(n, _DAYS, "date", back)
+            new = _FIRST + timedelta(n)
+            if (new.month == 5) == (month == 5) and (new.day < 10) == short:
+                break
+        name = names[new.month - 1]
+        name = name.upper() if said["m"].isupper() else name.lower() if said["m"].islower() else name
+        shown = iter([{"y": f"{new.year:04d}", "m": name, "d": str(new.day).zfill(len(said["d"]))}[k] for k in order])
+        return "".join(next(shown) if i % 2 == 0 else p for i, p in enumerate(parts))
+
+    return run
+
+
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -184,6 +212,8 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
+_NAME = "|".join((*MONTHS, *_SHORT))
+
 #: Kind, pattern, replacer; at one place the first valid kind is taken. Patterns are bounded, so scanning is linear.
 KINDS: tuple[tuple[str, str, Replacer], ...] = (
     ("email", r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
@@ -192,6 +222,8 @@ KINDS: tuple[tuple[str, str, Replacer], ...] = (
     ("date", r"(?<![0-9/.\-])(?:19|20)[0-9]{2}([/.\-])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[/.\-][0-9])", _date("ymd")),
     ("date", r"(?<![0-9/.\-])[0-9]{1,2}([/.\-])[0-9]{1,2}\1(?:19|20)[0-9]{2}(?![0-9]|[/.\-][0-9])", _date("dmy")),
     ("date", r"(?<![0-9/.\-])[0-9]{1,2}([/.\-])[0-9]{1,2}\1(?:19|20)[0-9]{2}(?![0-9]|[/.\-][0-9])", _date("mdy")),
+    ("date", rf"(?<![0-9A-Za-z])[0-9]{{1,2}}[ \-](?i:{_NAME})[ \-.,]{{1,2}}(?:19|20)[0-9]{{2}}(?![0-9A-Za-z])", _named_date("dmy")),
+    ("date", rf"(?<![0-9A-Za-z])(?i:{_NAME})[. ]{{1,2}}[0-9]{{1,2}}, ?(?:19|20)[0-9]{{2}}(?![0-9A-Za-z])", _named_date("mdy")),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("card", r"(?<![A-Za-z0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![A-Za-z0-9])", _card),
     ("phone", r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])", _phone),
@@ -246,8 +278,18 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in taken]
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
-    """docs with its columns, the text replaced; back inverts it with the same key. Null texts stay null, repeated rows are alike."""
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; anyone can invert pseudonyms made without one, by the example key."""
+    said = spark.conf.get(KEY_SETTING, None)
+    return said.encode() if said else KEY
+
+
+def pseudonymised(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
+    """docs with its columns, the text replaced, by the session's key if none is given; back inverts it with the same key.
+
+    Null texts stay null, empty ones empty; rows with equal texts come out alike, whatever their ids; an empty table stays one.
+    """
+    key = key or key_of(docs.sparkSession)
 
     @F.pandas_udf("string")
     def replaced(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -258,8 +300,13 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, back: bool = False) -> Data
     return docs.withColumn("text", replaced("text"))
 
 
-def query(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """doc_id, text (with pseudonyms; null counts as empty), n_found and a count a kind, spans as kind:start:end in the old text."""
+def query(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """doc_id, text (with pseudonyms; null counts as empty), n_found and a count a kind, spans as kind:start:end in the old text.
+
+    Whole texts are read, however long, in time by their length; repeated rows and null ids come out like others; other columns play
+    no part, whatever their names; an empty table gives an empty result.
+    """
+    key = key or key_of(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = Pseudonyms(key)
@@ -274,5 +321,3 @@ def query(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     counts = ", ".join(f"n_{k} long" for k in NAMES)
     found = by_document(docs.select("doc_id", "text"), run, f"text string, n_found long, {counts}, spans string")
     return found.withColumn("text_sha256", F.sha2("text", 256))
-
-

@@ -304,6 +304,34 @@ def test_pii_date_orders():
         assert names.replace(new, back=True)[0] == text
 
 
+@pytest.mark.parametrize("text", ["12 March 1999", "03 Mar 2004", "1 may 2010", "March 12, 1999", "DEC. 3, 2020", "31-Jan-1987", "April 30,2001", "7 September, 1950"])
+def test_pii_named_months(text):
+    names = pii.Pseudonyms(b"a key")
+    new, spans = names.replace("on " + text + " or so")
+    assert [(a, b) for _, a, b in spans] == [(3, 3 + len(text))] and text not in new
+    assert names.replace(new, back=True)[0] == "on " + text + " or so"
+    assert names.replace("31 February 2001 or Marchen 3, 2001 or 12 Mayor 2001")[1] == []
+
+
+def test_pii_spans_by_hand(spark):
+    """Spans of every kind, listed by hand, at their places; the key comes from the session."""
+    values = [("email", "ann.lee@mail.example.org"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ip", "192.168.7.41"), ("date", "2001-02-28"), ("date", "28.02.2001"), ("date", "12/31/1999"),
+              ("date", "3 June 1971"), ("ssn", "078-05-1120"), ("card", "4111 1111 1111 1111"), ("phone", "+49 30 901820"), ("phone", "(415) 555-2671")]
+    text, want = "", []
+    for k, (kind, value) in enumerate(values * 3):
+        text += prose(k % 5 + 1) + " "
+        want.append(f"{kind}:{len(text)}:{len(text) + len(value)}")
+        text += value + " ; "
+    frame = spark.createDataFrame([(1, text), (None, text), (3, None), (4, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.query(frame).collect()}
+    assert rows[1]["spans"].split(",") == want and rows[None]["text"] == rows[1]["text"] and rows[3]["text"] == rows[4]["text"] == ""
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.query(frame).where("doc_id = 1").first()["text"] not in (text, rows[1]["text"])
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_suffix_array():
     for k in range(400):
         text = [rnd.randint(1, rnd.choice((1, 2, 3, 30))) for _ in range(rnd.randint(0, 50))] * (1 + k % 3)
@@ -438,6 +466,21 @@ def test_grammars_on_held_out():
         assert share <= 0.01 if label == "ordinary" else share >= 0.95, label
 
 
+def test_secrets_learned_from_documents(spark):
+    """Formats that no generator here makes are learned from assignments, and found where no base pattern looks; prose is left alone."""
+    hexes = lambda n: "".join(rnd.choices("0123456789abcdef", k=n))
+    own = lambda: "zq9-" + "".join(rnd.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=5)) + "." + hexes(18) + "_x"
+    rows = [(k, f"{prose(20)}\ntoken: {own()} {prose(5)}") for k in range(60)]
+    rows += [(100 + k, f"{prose(20)} {own()} {prose(20)}") for k in range(30)]
+    rows += [(200 + k, prose(50) + f" {prose(1)}_{prose(1)}-{prose(1)} /home/{prose(1)}/{prose(1)}.txt 2024-01-02 +49-30-1234567") for k in range(60)]
+    long = "ab9/" * 200_000
+    rows += [(300, long), (301, "password=abcdef " * 60_000)]
+    got = {r["doc_id"]: r for r in secrets.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[100 + k]["n_likely"] == 1 for k in range(30)) >= 28
+    assert sum(got[200 + k]["n_likely"] > 0 for k in range(60)) <= 1
+    assert got[301]["n_assign"] == 60_000
+
+
 def test_lm(docs):
     rows = lm.query(docs).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
