@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches, by_document
+from tessera.llm.common import batches, by_document, cut
 
 # Fixed patterns of the base spans, in order; a match whose tested group is shorter is dropped.
 BASE = (
@@ -275,6 +275,7 @@ def learned(docs: DataFrame) -> dict[str, list[str]]:
             yield pd.DataFrame([(k, v, h) for k, held in least.items() for v, h in held.items()], columns=["label", "value", "h"])
 
     found = docs.select("text").mapInPandas(run, "label string, value string, h long").distinct()
+    found = cut(found)
     top = {}
     for label in [kind for kind, *_ in BASE] + ["ordinary"]:
         top[label] = [r["value"] for r in found.where(F.col("label") == label).orderBy("h", "value").limit(LEARNED).collect()]
