@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WHITE, WORD_CLASS, words
+from tessera.llm.common import WHITE, WORD_CLASS, cut, words
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,11 @@ def ablations(book: DataFrame, version: int = LATEST, rules: tuple[Rule, ...] =
 
 
 def query(docs: DataFrame, version: int = LATEST) -> DataFrame:
-    """A row a document: its measurements and whether the base rules and the policy let it pass."""
+    """A row a document: its measurements and whether the base rules and the policy let it pass.
+
+    Null, empty and white texts have no words and fail the base rules; long texts are measured whole; repeated rows and null ids are
+    judged like others; other columns play no part, whatever their names; an empty table gives an empty result.
+    """
     return ledger(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(mask_of(BASE))).alias("base_failed"),
@@ -136,12 +140,19 @@ def query(docs: DataFrame, version: int = LATEST) -> DataFrame:
 
 
 def keep(docs: DataFrame, version: int = LATEST) -> DataFrame:
-    """The rows of docs that the policy keeps, with their own columns."""
+    """The rows of docs that the policy keeps, with their own columns, whatever their names.
+
+    The ledger, with the rows, is written; the policy is a filter over it, so no rule is evaluated twice.
+    """
     own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    judged = ledger(held).select("_row", passes(mask_of(BASE) | mask_of(POLICIES[version])).alias("_kept"), F.monotonically_increasing_id().alias("_at"))
-    # a filter does not pass a projection that numbers rows; pushed below it, it would compute a measurement again for every rule
-    return judged.where("_kept AND _at >= 0").select(*own)
+    book = cut(ledger(held).drop("text"))
+    return book.where(passes(mask_of(BASE) | mask_of(POLICIES[version]))).select(*own)
+
+
+def ablation_query(docs: DataFrame, version: int = LATEST) -> DataFrame:
+    """ablations() of the documents' ledger, which is written first."""
+    return ablations(cut(ledger(docs.select("doc_id", "text")).drop("text")), version)
 
 
 SQL = r"""
@@ -169,3 +180,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 +
   CAST(f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4 + 32 * f5 + 64 * f6 + 128 * f7 AS BIGINT) AS fail_bits
 FROM f
 """
+
+_POLICY = [i for i, r in enumerate(RULES) if r.name in POLICIES[LATEST]]
+ABLATION_SQL = f"""
+WITH b AS (SELECT fail_bits & {mask_of(POLICIES[LATEST])} AS bits FROM ({SQL})),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{RULES[i].name}', {1 << i})" for i in _POLICY)}) AS v (rule, bit))
+SELECT rule, CAST(sum(CASE WHEN bits & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+  CAST(sum(CASE WHEN bits = bit THEN 1 ELSE 0 END) AS BIGINT) AS failed_alone,
+  CAST(sum(CASE WHEN bits = bit OR bits = 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept_without FROM b, r GROUP BY rule
+"""

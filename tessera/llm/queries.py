@@ -14,6 +14,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(documents(spark, sf_dir))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation_query(documents(spark, sf_dir))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
+    "quality_ablations": quality_ablations,
 }
 
 SQL: dict[str, str] = {
@@ -68,4 +73,5 @@ SQL: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op4_minhash_dedup": minhash.SQL,
     "op10_quality_rules": quality.SQL,
+    "quality_ablations": quality.ABLATION_SQL,
 }
