@@ -189,11 +189,6 @@ def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b, la, lb) whose full sets have 100 * intersection >= PER_CENT * union."""
-    a, b = (known.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("set").alias(f"x{side}")) for side in "ab")
-    # sizes alone rule most out before the sets are fetched
-    light = known.select("id", "n")
-    sized = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(light.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    fits = sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PER_CENT).select("a", "b", "la", "lb")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -205,7 +200,9 @@ def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
             if any(keep):
                 yield frame.loc[keep, ["a", "b", "la", "lb"]]
 
-    return fits.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "xa", "xb").mapInPandas(run, _PAIR)
+    # Spark bounds the frames by bytes (spark.sql.execution.arrow.maxBytesPerBatch)
+    a, b = known.select(F.col("id").alias("a"), F.col("set").alias("xa")), known.select(F.col("id").alias("b"), F.col("set").alias("xb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "xa", "xb").mapInPandas(run, _PAIR)
 
 
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
