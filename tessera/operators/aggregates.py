@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,18 +11,29 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits if digits else F.floor(x + 0.5)
 
 
-def spread(rows: DataFrame, keys: list[Column], value: Column, verified: Column, order: Column, top: int | None = None) -> DataFrame:
-    """least, most, median (halves up), n, n_verified of the positive values of each group; the largest groups first."""
-    out = rows.where(value > 0).groupBy(*keys).agg(
-        F.min(value).alias("least"), F.max(value).alias("most"), half_up(F.percentile(value, F.lit(0.5))).cast("bigint").alias("median"),
-        F.count(F.lit(1)).alias("n"), F.count_if(verified).alias("n_verified"),
+def middle(rows: DataFrame, keys: list[Column], value: Column, verified: Column | None = None) -> DataFrame:
+    """The keys and least, lower, upper (the two middle values, equal where n is odd), most, n, n_verified of each group's known values.
+
+    Values are counted first, so a group's rows are never together; its distinct values pass in order through a sort that may spill.
+    """
+    ok = verified if verified is not None else F.lit(False)
+    counted = rows.where(value.isNotNull()).groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(ok).alias("_ok"))
+    names = counted.columns[: len(keys)]
+    own = Window.partitionBy(*names)
+    upto = F.sum("_c").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"_upto": upto, "_n": F.sum("_c").over(own)})
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
+    return placed.groupBy(*names).agg(
+        F.min("_v").alias("least"), at(F.floor((F.col("_n") + 1) / 2)).alias("lower"), at(F.floor(F.col("_n") / 2) + 1).alias("upper"),
+        F.max("_v").alias("most"), F.sum("_c").alias("n"), F.sum("_ok").alias("n_verified"),
     )
-    return out.orderBy(F.col("n").desc(), order).limit(top) if top else out
 
 
-def lower_median(value: Column) -> Column:
-    """The lower of the two middle values."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value._jc.toString()})")
+def spread(rows: DataFrame, keys: list[Column], value: Column, verified: Column, order: Column, top: int | None = None) -> DataFrame:
+    """least, most, median (halves up), n, n_verified of the positive values of each group; the largest groups first."""
+    out = middle(rows.where(value > 0), keys, value, verified)
+    out = out.withColumn("median", half_up((F.col("lower") + F.col("upper")) / 2).cast("bigint")).drop("lower", "upper")
+    return out.orderBy(F.col("n").desc(), order).limit(top) if top else out
 
 
 def rating(value: Column) -> Column:

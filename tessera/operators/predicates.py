@@ -93,17 +93,20 @@ def within_days(day: Column, today: Column, days: int) -> Column:
     return day.between(today, F.date_add(today, days))
 
 
-PRIVATE_HOST = r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.)"
+#: Hosts of the machine itself and of private ranges.
+PRIVATE_HOST = r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.|\[(::1?|f[cd][0-9a-f]{2}:.*|fe80:.*|::ffff:.*)\]$)|\.localhost\.?$"
+#: What precedes an @ is a user, however it looks; a host in brackets is an IPv6 address.
+_HOST = r"^(?i:https?)://(?:[^/?#@\\]*@)*(\[[^\]]*\]|[^/:?#@\\]+)"
 
 
 def safe_url(url: Column) -> Column:
-    """http or https, and no host of the machine itself or of a private range, by prefix."""
-    host = F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1))
+    """http or https, and no host of the machine itself or of a private range."""
+    host = F.lower(F.regexp_extract(url, _HOST, 1))
     return (host != "") & ~host.rlike(PRIVATE_HOST)
 
 
 def host_of(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1)), r"^www\.", "")
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"^www\.", "")
 
 
 def host_in(url: Column, suffixes: list[str]) -> Column:

@@ -165,15 +165,21 @@ def f16(t: Tables) -> DataFrame:
     return t.orders.where(P.within_days(F.col("o_orderdate").cast("date"), F.lit("1998-03-01").cast("date"), 7)).select("o_orderkey")
 
 
-@query("f17_safe_url", r"SELECT page_id, regexp_matches(u, '^https?://[^/:?#]+') AND NOT regexp_matches(lower(regexp_extract(u, '^https?://([^/:?#]+)', 1)), '^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.)') AS safe FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://192.168.1.9/x' WHEN 1 THEN 'javascript:' || url ELSE url END AS u FROM pages)")
+#: URLs by page_id % 10, and whether each is safe; pages of other remainders have their own.
+_ODD_URLS = [("http://192.168.1.9/x", False), ("javascript:alert(1)", False), ("http://user@127.0.0.1/", False), ("http://[::1]/", False), ("http://a.localhost/", False), ("http://127.0.0.1:80@evil.com/", True)]
+
+
+@query("f17_safe_url", f"SELECT page_id, CASE {' '.join(f'WHEN page_id % 10 = {i} THEN {ok}' for i, (_, ok) in enumerate(_ODD_URLS))} ELSE url LIKE 'http%://%' END AS safe FROM pages")
 def f17(t: Tables) -> DataFrame:
-    url = F.when(F.col("page_id") % 5 == 0, "http://192.168.1.9/x").when(F.col("page_id") % 5 == 1, F.concat(F.lit("javascript:"), "url")).otherwise(F.col("url"))
+    url = F.coalesce(*[F.when(F.col("page_id") % 10 == i, F.lit(u)) for i, (u, _) in enumerate(_ODD_URLS)], F.col("url"))
     return t.pages.select("page_id", P.safe_url(url).alias("safe"))
 
 
-@query("f18_host_in", r"WITH h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages) SELECT page_id FROM h WHERE url LIKE 'https://%' AND (host = 'example.net' OR host LIKE '%.example.net' OR host = 'example.org' OR host LIKE '%.example.org')")
+@query("f18_host_in", r"WITH h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\.', '') AS host FROM pages) SELECT page_id FROM h WHERE page_id % 7 = 1 OR page_id % 7 > 1 AND url LIKE 'https://%' AND (host = 'example.net' OR host LIKE '%.example.net' OR host = 'example.org' OR host LIKE '%.example.org')")
 def f18(t: Tables) -> DataFrame:
-    return t.pages.where(P.host_in(F.col("url"), ["example.net", "example.org"])).select("page_id")
+    k = F.col("page_id") % 7
+    url = F.when(k == 0, "https://example.org:80@evil.com/").when(k == 1, "https://user:word@www.example.net:8080/x").otherwise(F.col("url"))
+    return t.pages.where(P.host_in(url, ["example.net", "example.org"])).select("page_id")
 
 
 _FLAGS = [("short", "n_chars < 400"), ("no_capital", "NOT regexp_like(text, '[A-Z]')"), ("one_line", "instr(text, chr(10)) = 0"), ("symbols", "regexp_like(text, '[#*$%]')"), ("not_english", "lang <> 'en'")]

@@ -24,16 +24,14 @@ def j01(t: Tables) -> DataFrame:
 
 
 @query("j03_absent_by_each", """
-WITH old AS (SELECT o_custkey, nullif(o_orderpriority, '5-LOW') AS p, o_orderstatus AS s, o_orderkey FROM orders WHERE o_orderkey % 2 = 0),
-new AS (SELECT o_orderkey, o_custkey, nullif(o_orderpriority, '5-LOW') AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 1)
-SELECT o_orderkey FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.o_orderkey + 1 = new.o_orderkey AND old.o_orderkey % 3 = 0)
-AND NOT EXISTS (SELECT 1 FROM old WHERE old.o_custkey = new.o_custkey AND old.p = new.p AND old.s = new.s)""")
+WITH o AS (SELECT o_orderkey, o_orderdate >= TIMESTAMP '1997-01-01' AS is_new, o_custkey AS c, nullif(o_orderpriority, '5-LOW') AS p, o_orderstatus AS s, day(o_orderdate) AS d FROM orders)
+SELECT o_orderkey FROM o n WHERE is_new AND NOT EXISTS (SELECT 1 FROM o WHERE NOT o.is_new AND o.c = n.c AND o.d = n.d)
+AND NOT EXISTS (SELECT 1 FROM o WHERE NOT o.is_new AND o.c = n.c AND o.p = n.p AND o.s = n.s)""")
 def j03(t: Tables) -> DataFrame:
     key = F.when(F.col("o_orderpriority") != "5-LOW", F.concat_ws("|", "o_custkey", "o_orderpriority", "o_orderstatus"))
-    rows = t.orders.withColumn("k", key)
-    new, old = rows.where("o_orderkey % 2 = 1"), rows.where("o_orderkey % 2 = 0")
-    old = old.select("k", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") + 1).alias("o_orderkey"))
-    return J.absent_by_each(new, old, ["o_orderkey", "k"]).select("o_orderkey")
+    rows = t.orders.withColumns({"k": key, "d": F.concat_ws("|", "o_custkey", F.day("o_orderdate"))})
+    is_new = F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")
+    return J.absent_by_each(rows.where(is_new), rows.where(~is_new).select("k", "d"), ["d", "k"]).select("o_orderkey")
 
 
 @query("j04_absent", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -63,38 +61,40 @@ def j07(t: Tables) -> DataFrame:
 
 
 @query("j08_standing_queries", """
-SELECT a.p_partkey AS alert, p.p_partkey AS part FROM (SELECT * FROM part WHERE p_partkey < 20) a
+SELECT a.p_partkey AS alert, p.p_partkey AS part FROM part a
 JOIN part p ON a.p_brand = p.p_brand AND a.p_type = p.p_type AND p.p_size >= a.p_size AND contains(p.p_name, split_part(a.p_name, ' ', 1))""")
 def j08(t: Tables) -> DataFrame:
-    alerts = t.part.where("p_partkey < 20").select(F.col("p_partkey").alias("alert"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("least"), F.split("p_name", " ")[0].alias("word"))
+    alerts = t.part.select(F.col("p_partkey").alias("alert"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("least"), F.split("p_name", " ")[0].alias("word"))
     also = (F.col("p_size") >= F.col("least")) & F.col("p_name").contains(F.col("word"))
     return J.matching(alerts, t.part, [("brand", "p_brand"), ("kind", "p_type")], also).select("alert", F.col("p_partkey").alias("part"))
 
 
 @query("j09_blocked_best_match", """
-WITH c AS (SELECT * FROM part WHERE p_partkey % 10 = 3), e AS (SELECT * FROM part WHERE p_partkey % 10 = 7),
-p AS (SELECT DISTINCT c.p_partkey AS a, e.p_partkey AS b FROM c JOIN e ON c.p_name || c.p_brand = e.p_name || e.p_brand OR c.p_size || c.p_brand = e.p_size || e.p_brand),
+WITH c AS (SELECT * FROM part), e AS (SELECT * FROM part),
+p AS (SELECT c.p_partkey AS a, e.p_partkey AS b FROM c JOIN e ON c.p_name || c.p_brand = e.p_name || e.p_brand WHERE c.p_partkey <> e.p_partkey
+      UNION SELECT c.p_partkey, e.p_partkey FROM c JOIN e ON c.p_size || c.p_brand = e.p_size || e.p_brand WHERE c.p_partkey <> e.p_partkey),
 s AS (SELECT a, b, CASE WHEN c.p_name = e.p_name THEN 30 ELSE 0 END + CASE WHEN c.p_brand = e.p_brand THEN 20 ELSE 0 END + CASE WHEN c.p_type = e.p_type THEN 10 ELSE 0 END + CASE WHEN c.p_size = e.p_size THEN 35 ELSE 0 END AS score
       FROM p JOIN c ON a = c.p_partkey JOIN e ON b = e.p_partkey)
 SELECT a, b, CAST(score AS INTEGER) AS score FROM s WHERE score >= 50 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1""")
 def j09(t: Tables) -> DataFrame:
     p = t.part.withColumns({"k1": F.concat("p_name", "p_brand"), "k2": F.concat(F.col("p_size").cast("string"), "p_brand")})
-    c = p.where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("a"), *[F.col(x).alias(f"a_{x}") for x in ("k1", "k2", "p_name", "p_brand", "p_type", "p_size")])
-    e = p.where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("b"), *[F.col(x).alias(f"b_{x}") for x in ("k1", "k2", "p_name", "p_brand", "p_type", "p_size")])
-    pairs = J.blocked_pairs(c, e, "a", "b", [(F.col("a_k1"), F.col("b_k1")), (F.col("a_k2"), F.col("b_k2"))])
+    c = p.select(F.col("p_partkey").alias("a"), *[F.col(x).alias(f"a_{x}") for x in ("k1", "k2", "p_name", "p_brand", "p_type", "p_size")])
+    e = p.select(F.col("p_partkey").alias("b"), *[F.col(x).alias(f"b_{x}") for x in ("k1", "k2", "p_name", "p_brand", "p_type", "p_size")])
+    pairs = J.blocked_pairs(c, e, "a", "b", [(F.col("a_k1"), F.col("b_k1")), (F.col("a_k2"), F.col("b_k2"))]).where("a <> b")
     score = reduce(lambda x, y: x + y, [F.when(F.col(f"a_{x}") == F.col(f"b_{x}"), n).otherwise(0) for x, n in (("p_name", 30), ("p_brand", 20), ("p_type", 10), ("p_size", 35))])
     scored = pairs.join(c, "a").join(e, "b").select("a", "b", score.alias("score")).where("score >= 50")
     return O.keep_first(scored, ["a"], [F.col("score").desc(), F.col("b")])
 
 
 @query("j11_match_by_priority", """
-WITH e AS (SELECT o_orderkey AS eid, o_custkey AS c, o_orderpriority || o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0),
-r AS (SELECT o_orderkey AS rid, o_custkey AS c, o_orderpriority || o_custkey AS k FROM orders WHERE o_orderkey % 3 = 1),
+WITH e AS (SELECT o_orderkey AS eid, o_custkey AS c, o_orderpriority || o_custkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
+r AS (SELECT o_orderkey AS rid, o_custkey AS c, o_orderpriority || o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'),
 h AS (SELECT rid, 0 AS rank, min(eid) AS eid FROM r JOIN e USING (k) GROUP BY rid UNION ALL SELECT rid, 1, min(eid) FROM r JOIN e USING (c) GROUP BY rid)
 SELECT rid, CAST(min(rank) AS INTEGER) AS matched_by, arg_min(h.eid, rank) AS eid FROM r LEFT JOIN h USING (rid) GROUP BY rid""")
 def j11(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("c"), F.concat("o_orderpriority", F.col("o_custkey").cast("string")).alias("k"))
-    new, old = rows.where("o_orderkey % 3 = 1").withColumnRenamed("o_orderkey", "rid"), rows.where("o_orderkey % 3 = 0").withColumnRenamed("o_orderkey", "eid")
+    is_new = F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")
+    rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("c"), F.concat("o_orderpriority", F.col("o_custkey").cast("string")).alias("k"), is_new.alias("is_new"))
+    new, old = rows.where("is_new").withColumnRenamed("o_orderkey", "rid"), rows.where("NOT is_new").withColumnRenamed("o_orderkey", "eid")
     return J.by_priority(new, old, "rid", [("k", "k"), ("c", "c")], "eid").select("rid", "matched_by", "eid")
 
 
@@ -154,7 +154,7 @@ def g02(t: Tables) -> DataFrame:
 
 @query("g03_lower_median", "SELECT c_mktsegment, quantile_disc(c_acctbal, 0.5) AS lower_median, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def g03(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_mktsegment").agg(A.lower_median(F.col("c_acctbal")).alias("lower_median"), F.count(F.lit(1)).alias("n"))
+    return A.middle(t.customer, [F.col("c_mktsegment")], F.col("c_acctbal")).select("c_mktsegment", F.col("lower").alias("lower_median"), "n")
 
 
 @query("g04_ratings", """

@@ -43,7 +43,7 @@ def x06(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.unshouted(F.col("p_type")).alias("kind"))
 
 
-_KEPT = r"list_filter(string_split(regexp_extract(w, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(utm_\w+|fbclid|gclid|msclkid|ref|source|mc_cid|mc_eid|igshid)(=|$)'))"
+_KEPT = rf"list_filter(string_split(regexp_extract(w, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{X.TRACKING}'))"
 _NORMAL = rf"(SELECT page_id, html, CASE WHEN regexp_matches(o, '^https?://[^/]+/.+/$') THEN o[:-2] ELSE o END AS url FROM (SELECT page_id, html, regexp_extract(w, '^([^?]*)', 1) || CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string({_KEPT}, '&') ELSE '' END AS o FROM (SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS w FROM pages)))"
 
 
@@ -68,8 +68,7 @@ def x11(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.digest([F.col(c) for c in ("p_name", "p_brand", "p_type", "p_size")], "\u001f").alias("hash"))
 
 
-@query("x16_redacted", r"""
-SELECT page_id, regexp_replace(url || '&token=' || page_id || ' Bearer abc' || page_id || '== /bot' || page_id || ':x/send', '(?i)([?&])(access_token|api_key|apikey|token|secret|password|client_secret)=([^&"''\s]*)', '\1\2=[REDACTED]', 'g').regexp_replace('(?i)\b(Bearer\s+)[A-Za-z0-9\-._~+/]+=*', '\1[REDACTED]', 'g').regexp_replace('(?i)(https?://[^\s""'']*?/bot|/bot)[A-Za-z0-9:_\-]+', '\1[REDACTED]', 'g') AS text FROM pages""")
+@query("x16_redacted", "SELECT page_id, url || '&token=[REDACTED] Bearer [REDACTED] /bot[REDACTED]/send' AS text FROM pages")
 def x16(t: Tables) -> DataFrame:
     k = F.col("page_id").cast("string")
     line = F.concat("url", F.lit("&token="), k, F.lit(" Bearer abc"), k, F.lit("== /bot"), k, F.lit(":x/send"))
@@ -138,11 +137,11 @@ def e09(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.first_label([("warm", "red|rose"), ("cool", "blue|cold")], F.col("p_name"), "plain").alias("mode"))
 
 
-@query("e10_day_of", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 4 = 1 AND year(o_orderdate) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END END::DATE AS day FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'")
+@query("e10_day_of", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 4 = 1 AND year(o_orderdate) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END END::DATE AS day FROM orders")
 def e10(t: Tables) -> DataFrame:
     kind, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
     line = F.when(kind == 0, F.date_format(d, "d/M/yyyy")).when(kind == 1, F.date_format(d, "dd.MM.yy")).when(kind == 2, F.date_format(d, "yyyy-MM-dd")).otherwise("31-31-2024")
-    return t.orders.where("date_format(o_orderdate, 'MM-dd') <> '02-29'").select("o_orderkey", X.day_of(line).alias("day"))
+    return t.orders.select("o_orderkey", X.day_of(line).alias("day"))
 
 
 @query("s06_anchors", r"""
