@@ -22,7 +22,9 @@ def x02(t: Tables) -> DataFrame:
 
 
 @query("x03_strip_html", r"""
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g'), ' *\n\s*', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages""")
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'g'), '(?i)</(?:p|div|li|tr|h[1-6])\s*>|<br\s*/?\s*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(x, '&#39;', ''''), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS x FROM a)
+SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' *\n\s*', chr(10), 'g'), ' ' || chr(10)) AS text FROM b""")
 def x03(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.strip_html(F.col("html")).alias("text"))
 
