@@ -198,3 +198,12 @@ def for_freshers(text: Column) -> Column:
 def field(block: Column, names: list[str]) -> Column:
     """The cleaned text of the first of an element's named children that has some."""
     return reduce(F.coalesce, [F.nullif(clean_text(first(block, rf"(?is)<{n}\b[^>]*>(.*?)</{n}>", 1)), F.lit("")) for n in names])
+
+
+#: Kinds of work, in order of precedence.
+WORK_TYPES = [("Hybrid", "(?i)hybrid"), ("Remote", "(?i)remote|work from home|wfh"), ("Site", "(?i)site|field"), ("Office", "(?i)office")]
+
+
+def canonical_json(column: Column) -> Column:
+    """JSON with keys in order at every level and no blanks; null where it is none."""
+    return F.to_json(F.try_parse_json(column))

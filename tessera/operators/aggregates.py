@@ -29,9 +29,15 @@ def middle(rows: DataFrame, keys: list[Column], value: Column, verified: Column
     )
 
 
-def spread(rows: DataFrame, keys: list[Column], value: Column, verified: Column, order: Column, top: int | None = None) -> DataFrame:
-    """least, most, median (halves up), n, n_verified of the positive values of each group; the largest groups first."""
+def spread(rows: DataFrame, keys: list[Column], value: Column, verified: Column, order: Column, top: int | None = None, beside: list[Column] | None = None) -> DataFrame:
+    """least, most, median (halves up), n, n_verified of the positive values of each group, and aggregates beside them; the largest groups first."""
     out = middle(rows.where(value > 0), keys, value, verified)
+    if beside:
+        names = out.columns[: len(keys)]
+        more = rows.where(value > 0).groupBy(*keys).agg(*beside)
+        more = more.select(*[F.col(n).alias(f"_{n}") for n in names], *more.columns[len(keys) :])
+        same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+        out = out.join(more, same).drop(*[f"_{n}" for n in names])
     out = out.withColumn("median", half_up((F.col("lower") + F.col("upper")) / 2).cast("bigint")).drop("lower", "upper")
     return out.orderBy(F.col("n").desc(), order).limit(top) if top else out
 

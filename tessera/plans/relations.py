@@ -136,12 +136,15 @@ _PRICES = "lineitem JOIN part ON l_partkey = p_partkey"
 
 @query("g01_spread", f"""
 SELECT lower(p_brand) AS brand, lower(p_type) AS kind, min(c) AS least, max(c) AS most, CAST(floor(median(c) + 0.5) AS BIGINT) AS median,
-count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_verified
+count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_verified,
+arg_min(CASE WHEN l_linenumber % 2 = 1 THEN upper(p_brand) ELSE p_brand END, l_orderkey * 100 + l_linenumber) AS spelling, CAST(floor(avg(l_quantity) + 0.5) AS BIGINT) AS mean_quantity
 FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM {_PRICES}) WHERE c > 0 GROUP BY 1, 2 ORDER BY n DESC, brand, kind LIMIT 36""")
 def g01(t: Tables) -> DataFrame:
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    return A.spread(rows, [F.lower("p_brand").alias("brand"), F.lower("p_type").alias("kind")], cents, F.col("l_returnflag") == "R", F.struct("brand", "kind"), 36)
+    spelled = F.when(F.col("l_linenumber") % 2 == 1, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    beside = [F.min_by(spelled, F.struct("l_orderkey", "l_linenumber")).alias("spelling"), A.half_up(F.avg("l_quantity")).cast("bigint").alias("mean_quantity")]
+    return A.spread(rows, [F.lower("p_brand").alias("brand"), F.lower("p_type").alias("kind")], cents, F.col("l_returnflag") == "R", F.struct("brand", "kind"), 36, beside)
 
 
 @query("g02_spread_exact_case", f"""
@@ -297,9 +300,12 @@ def w05(t: Tables) -> DataFrame:
     return O.rotating(t.supplier.select("s_suppkey"), [F.col("s_suppkey")], t.supplier.count(), 7, 12)
 
 
-@query("w06_most_recent", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 6")
+@query("w06_most_recent", """
+WITH d AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts DESC, event_id DESC) = 1)
+SELECT user_id, event_id FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 6""")
 def w06(t: Tables) -> DataFrame:
-    return O.most_recent(t.events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 6).select("user_id", "event_id")
+    latest = O.keep_first(t.events, ["user_id", "event_type", "props"], [F.col("ts").desc(), F.col("event_id").desc()])
+    return O.most_recent(latest, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 6).select("user_id", "event_id")
 
 
 @query("w07_transitions", """
