@@ -40,3 +40,26 @@ def save(rows: DataFrame, path: str, form: str = "parquet") -> None:
         out.options(header=True, quote='"', escape='"', emptyValue="", lineSep="\n").csv(path)
     else:
         out.format(form).save(path)
+
+
+def reviewed(old: DataFrame, new: DataFrame, key: str, link: str, official: Column) -> DataFrame:
+    """New values over old ones unless empty; an official link is never replaced by another. `official` tests the column `link` of either side."""
+    values = [c for c in old.columns if c not in (key, link)]
+    stored = old.withColumn("_official", F.coalesce(official, F.lit(False)))
+    fresh = new.withColumn("_better", F.coalesce(official, F.lit(False))).select(key, "_better", *[F.col(c).alias(f"_new_{c}") for c in [*values, link]])
+    blank = lambda c: F.when(F.btrim(F.col(f"_new_{c}").cast("string")) != "", F.col(f"_new_{c}"))
+    kept = F.when(F.coalesce("_official", F.lit(False)) & ~F.coalesce("_better", F.lit(False)), F.col(link)).otherwise(F.coalesce(blank(link), F.col(link)))
+    return stored.join(fresh, key, "full_outer").select(key, *[F.coalesce(blank(c), F.col(c)).alias(c) for c in values], kept.alias(link))
+
+
+def claimed(ledger: DataFrame, key: str, state: str, leased: str, now: Column, lease_seconds: int, most: int, worker: str) -> DataFrame:
+    """The ledger after a worker's claim: rows whose lease ran out are uncertain and stay unsent; the first `most` queued ones are the worker's.
+
+    Sent and uncertain rows are never claimed again, so that nothing is sent twice.
+    """
+    expired = (F.col(state) == "publishing") & (F.unix_timestamp(now) - F.unix_timestamp(leased) > lease_seconds)
+    rows = ledger.withColumn(state, F.when(expired, "uncertain").otherwise(F.col(state)))
+    mine = rows.where(F.col(state) == "queued").orderBy(key).limit(most).select(key, F.lit(worker).alias("_worker"))
+    out = rows.join(mine, key, "left")
+    taken = F.col("_worker").isNotNull()
+    return out.withColumn(state, F.when(taken, "publishing").otherwise(F.col(state))).withColumn(leased, F.when(taken, now).otherwise(F.col(leased))).withColumnRenamed("_worker", "worker")

@@ -85,3 +85,20 @@ def allowed(links: DataFrame, rules: DataFrame, key: str, link: str, path: Colum
     hits = links.select(key, link, path.alias("_path")).join(rules, key).where("_path RLIKE pattern")
     best = hits.groupBy(link).agg(F.max(F.struct("weight", "allow"))["allow"].alias("_best"))
     return links.join(best, link, "left").withColumn("allowed", F.coalesce("_best", F.lit(True))).drop("_best")
+
+
+def news(headline: Column, body: Column, noise: list[str], wanted: list[str]) -> Column:
+    """Why a piece of news is no vacancy: noise in its headline before all else, then no wanted word in headline or body; null where it is one."""
+    return first_failure([("noise in headline", has_word(headline, noise)), ("no vacancy", ~has_word(F.concat_ws(" ", headline, body), wanted))])
+
+
+def weightiest(title: Column, text: Column, rules: list[tuple[str, int, list[str]]], veto: list[str]) -> Column:
+    """category and score of the weightiest rule with a word in the text, two more for one in the title; the first of equals. Score is a fifth of
+    the weight, 1 at most; a vetoed title or a text without a word has none and 0.
+    """
+    found = [
+        F.when(has_word(title, words) | has_word(text, words), F.struct((F.lit(weight) + F.when(has_word(title, words), 2).otherwise(0)).alias("weight"), F.lit(-i).alias("place"), F.lit(name).alias("category")))
+        for i, (name, weight, words) in enumerate(rules)
+    ]
+    best = F.when(~has_word(title, veto), F.array_max(F.array_compact(F.array(*found))))
+    return F.struct(best["category"].alias("category"), F.least(F.lit(1.0), F.coalesce(best["weight"] / 5, F.lit(0.0))).alias("score"))

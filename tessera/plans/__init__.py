@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one or more for each operator."""
 
-from tessera.plans import changes, fields, listings, relations, states, texts, verdicts  # noqa: F401
+from tessera.plans import changes, fields, listings, records, relations, states, texts, verdicts  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
