@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,29 @@ def claimed(ledger: DataFrame, key: str, state: str, leased: str, now: Column, l
     out = rows.join(mine, key, "left")
     taken = F.col("_worker").isNotNull()
     return out.withColumn(state, F.when(taken, "publishing").otherwise(F.col(state))).withColumn(leased, F.when(taken, now).otherwise(F.col(leased))).withColumnRenamed("_worker", "worker")
+
+
+def insertable(stored: DataFrame, rows: DataFrame, minimal: list[str]) -> DataFrame:
+    """rows as they go into a table: all columns where it has them all, else the minimal ones only; what a row doesn't say is null."""
+    types = dict(zip(stored.columns, [f.dataType for f in stored.schema], strict=True))
+    taken = rows.columns if set(rows.columns) <= set(types) else minimal
+    return rows.select(*[(F.col(c) if c in taken else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def seeded(stored: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """stored with the seeds' columns set anew and its other ones kept, and with seeds that it lacks. seeds has one row a key."""
+    old = stored.drop(*[c for c in seeds.columns if c != key])
+    known = seeds.select(key).withColumn("_seeded", F.lit(True))
+    rest = stored.join(known, key, "left_anti")
+    return seeds.join(old, key, "left").select(*stored.columns).unionByName(rest)
+
+
+def next_batch(items: DataFrame, done: DataFrame, key: str, budget: int) -> DataFrame:
+    """The first `budget` items in order of the key that aren't done: a run that stops goes on from what it wrote to done."""
+    return items.join(done.select(key), key, "left_anti").orderBy(key).limit(budget)
+
+
+def numbered_pages(rows: DataFrame, key: str, size: int = 1000, most: int = 50_000) -> DataFrame:
+    """The first `most` rows in order of the key, with page. Only those rows are numbered, so that the one window is bounded."""
+    first = rows.orderBy(key).limit(most)
+    return first.withColumn("page", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int") + 1)

@@ -102,3 +102,67 @@ def weightiest(title: Column, text: Column, rules: list[tuple[str, int, list[str
     ]
     best = F.when(~has_word(title, veto), F.array_max(F.array_compact(F.array(*found))))
     return F.struct(best["category"].alias("category"), F.least(F.lit(1.0), F.coalesce(best["weight"] / 5, F.lit(0.0))).alias("score"))
+
+
+def role_accepted(title: Column, body: Column, roles: list[str], others: list[str], context: list[str], practice: list[str]) -> Column:
+    """accepted and reason: a wanted role in title or body before all else; work practices save other roles, and unclear ones in their context."""
+    text = F.concat_ws(" ", title, body)
+    practised, near = has_word(text, practice), has_word(text, context)
+    reason = (
+        F.when(has_word(text, roles), "role")
+        .when(has_word(text, others), F.when(practised, "practices").otherwise("other role"))
+        .when(near, F.when(practised, "context with practices").otherwise("context alone"))
+        .otherwise("no such role")
+    )
+    return F.struct(reason.isin("role", "practices", "context with practices").alias("accepted"), reason.alias("reason"))
+
+
+def level(text: Column, stated: Column, never: list[str], direct: list[str], related: list[str], possible: Column) -> Column:
+    """direct, related, possible or none of a post: never words veto, then what its source states makes it related, then the lists in order."""
+    known = F.coalesce(text, F.lit("")) != ""
+    return (
+        F.when(~known | has_word(text, never), "none")
+        .when(F.coalesce(stated, F.lit(False)), "related")
+        .when(has_word(text, direct), "direct")
+        .when(has_word(text, related), "related")
+        .when(F.coalesce(possible, F.lit(False)), "possible")
+        .otherwise("none")
+    )
+
+
+def by_hits(text: Column, negative: list[str], positive: list[str]) -> Column:
+    """status, tier, score and confidence by how many of the positive words a text has; a negative one vetoes."""
+    hits = sum((has_word(text, [w]).cast("int") for w in positive), F.lit(0))
+    rule = lambda status, tier, score, sure: F.struct(F.lit(status).alias("status"), F.lit(tier).alias("tier"), score.cast("int").alias("score"), F.lit(sure).alias("confidence"))
+    many = rule("wanted", "A", F.least(F.lit(100), 70 + 8 * hits), 0.9)
+    return F.when(has_word(text, negative), rule("unwanted", "C", F.lit(0), 0.98)).when(hits >= 2, many).when(hits == 1, rule("unknown", "B", F.lit(55), 0.65)).otherwise(rule("unknown", "U", F.lit(20), 0.3))
+
+
+def selected(text: Column, branch_text: Column, post: Column, explicit: Column, by_role: Column, wanted: str, branches: list[str], roles: list[str]) -> Column:
+    """kept, evidence and eligible of a record: lists of other branches reject it; the wanted word, a role, or the section it stood in keep it.
+
+    Records that must say so themselves (explicit) are kept by their role only where by_role allows it, and never by their section.
+    """
+    out = has_word(branch_text, branches) & ~has_word(branch_text, [wanted])
+    must = F.coalesce(explicit, F.lit(False))
+    role = has_word(post, roles) & ~(must & ~F.coalesce(by_role, F.lit(False)))
+    evidence = F.when(out, "branches exclude it").when(has_word(text, [wanted]), "qualification").when(role, "role").when(must, "none").otherwise("section")
+    return F.struct(evidence.isin("qualification", "role", "section").alias("kept"), evidence.alias("evidence"), evidence.isin("role", "section").alias("eligible"))
+
+
+def course(given: Column, text: Column, veto: Column, branches: list[str], strong: list[str], topics: list[tuple[str, Column]], engine: Column, special: Column, general: list[str]) -> Column:
+    """topic and reason of a course, topic null where it is none: what an editor gave, a veto, other branches unless a strong word is there,
+    topics in order, what the general verdict found to be direct or related, general words."""
+    vague = F.when(engine == "possible", "needs an editor").otherwise("no topic")
+    pair = lambda topic, reason: F.struct(topic.cast("string").alias("topic"), reason.alias("reason"))
+    none = F.lit(None)
+    steps = [
+        (given.isNotNull(), pair(given, F.lit("editor"))),
+        (F.coalesce(text, F.lit("")) == "", pair(none, F.lit("no text"))),
+        (veto, pair(none, F.lit("veto"))),
+        (has_word(text, branches) & ~has_word(text, strong), pair(none, F.lit("other branch"))),
+        *[(test, pair(F.lit(name), F.lit("topic"))) for name, test in topics],
+        (engine.isin("direct", "related"), pair(F.coalesce(special, F.lit("general")), engine)),
+        (has_word(text, general), pair(F.lit("general"), F.lit("general word"))),
+    ]
+    return F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), then) for test, then in steps], pair(none, vague))
