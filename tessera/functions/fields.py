@@ -207,3 +207,28 @@ WORK_TYPES = [("Hybrid", "(?i)hybrid"), ("Remote", "(?i)remote|work from home|wf
 def canonical_json(column: Column) -> Column:
     """JSON with keys in order at every level and no blanks; null where it is none."""
     return F.to_json(F.try_parse_json(column))
+
+
+def _member(json: Column, path: str) -> Column:
+    return F.nullif(F.btrim(F.get_json_object(json, path)), F.lit(""))
+
+
+def posted_place(json: Column) -> Column:
+    """city, region, country and all of them in one text, of a structured posting's place as JSON: the first of a list; a bare text is the text."""
+    one = F.when(json.startswith("["), F.get_json_object(json, "$[0]")).otherwise(json)
+    inside = F.coalesce(F.get_json_object(one, "$.address"), one)
+    city = F.coalesce(_member(inside, "$.addressLocality"), _member(inside, "$.addressCity"))
+    country = F.coalesce(_member(inside, "$.addressCountry.name"), F.when(~F.get_json_object(inside, "$.addressCountry").startswith("{"), _member(inside, "$.addressCountry")))
+    parts = {"city": city, "region": _member(inside, "$.addressRegion"), "country": country}
+    text = F.when(one.startswith("{"), F.nullif(F.concat_ws(", ", *parts.values()), F.lit(""))).otherwise(clean_text(one))
+    return F.struct(*[c.alias(n) for n, c in parts.items()], text.alias("location"))
+
+
+def posted_pay(json: Column) -> Column:
+    """Currency, amount or range, and unit of a structured posting's pay as JSON; null where it names no amount in an object."""
+    value = F.get_json_object(json, "$.value")
+    held = F.when(value.startswith("{"), value).when(value.isNull(), json)
+    low, high = F.coalesce(_member(held, "$.minValue"), _member(held, "$.value")), _member(held, "$.maxValue")
+    ranged = F.when(high.isNotNull() & ~high.eqNullSafe(low), F.concat(F.coalesce(low, F.lit("")), F.lit(" - "), high)).otherwise(low)
+    said = F.concat_ws(" ", F.coalesce(_member(json, "$.currency"), _member(held, "$.currency")), F.btrim(ranged), _member(held, "$.unitText"))
+    return F.when(ranged.isNotNull(), said)

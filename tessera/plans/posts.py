@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import fields as D
 from tessera.functions import titles as T
 from tessera.functions.text import first_label
 from tessera.operators import scores, sinks
@@ -82,6 +83,33 @@ def e01(t: Tables) -> DataFrame:
     return rows.select("p_partkey", "place", "j.title", "j.block")
 
 
+@query("e13_posting", """
+SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'City ' || s_nationkey WHEN 1 THEN 'Pune' END AS city, CASE s_suppkey % 5 WHEN 0 THEN 'R' END AS region, CASE s_suppkey % 5 WHEN 0 THEN 'India' WHEN 1 THEN 'IN' END AS country,
+CASE s_suppkey % 5 WHEN 0 THEN 'City ' || s_nationkey || ', R, India' WHEN 1 THEN 'Pune, IN' WHEN 2 THEN 'near ' || s_nationkey END AS location,
+CASE s_suppkey % 5 WHEN 0 THEN 'INR ' || s_nationkey || ' - 900 MONTH' WHEN 1 THEN 'INR ' || s_nationkey WHEN 3 THEN '- ' || s_nationkey || ' YEAR' END AS pay FROM supplier""")
+def e13(t: Tables) -> DataFrame:
+    places = (
+        '[{"address": {"addressLocality": "City #", "addressRegion": "R", "addressCountry": {"name": "India"}}}, "x"]',
+        '{"addressCity": "Pune", "addressCountry": "IN"}',
+        '"near #"',
+        '{"address": {"addressRegion": " ", "addressCountry": {}}}',
+        "null",
+    )
+    pays = (
+        '{"currency": "INR", "value": {"minValue": #, "maxValue": 900, "unitText": "MONTH"}}',
+        '{"value": {"currency": "INR", "minValue": #, "maxValue": #}}',
+        '{"currency": "INR", "value": #}',
+        '{"maxValue": #, "unitText": "YEAR"}',
+        "null",
+    )
+    page = '<script type="application/ld+json">{{"@type": "JobPosting", "jobLocation": {}, "baseSalary": {}}}</script>'
+    made = F.array(*[F.lit(page.format(*x)) for x in zip(places, pays, strict=True)])
+    html = F.replace(F.get(made, (F.col("s_suppkey") % 5).cast("int")), F.lit("#"), F.col("s_nationkey").cast("string"))
+    fields = {"place": "$.jobLocation", "pay": "$.baseSalary"}
+    rows = markup.structured(t.supplier.select("s_suppkey", html.alias("html")), "s_suppkey", "html", "JobPosting", fields)
+    return rows.select("s_suppkey", D.posted_place(F.col("place")).alias("p"), D.posted_pay(F.col("pay")).alias("pay")).select("s_suppkey", "p.*", "pay")
+
+
 @query("e15_search", """
 SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Site Engineer' WHEN 1 THEN 'Planner' END AS role, CASE c_custkey % 4 WHEN 0 THEN 'Pune' END AS city, CASE c_custkey % 4 WHEN 2 THEN 'Kerala' END AS state,
 CAST(CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 0 END AS DOUBLE) AS years, CAST(CASE c_custkey % 4 WHEN 0 THEN 4.5 WHEN 2 THEN 6 END AS DOUBLE) AS lakhs, CASE c_custkey % 4 WHEN 1 THEN 'Government' WHEN 2 THEN 'Private' END AS sector,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import fields as D
 from tessera.functions import titles as T
 from tessera.operators import scores, sinks
 from tessera.operators import verdicts as V
@@ -74,3 +75,9 @@ def test_batches_resume(spark):
         done = spark.createDataFrame([(k,) for k in seen], "k long")
     assert seen == list(range(10))
     assert sinks.numbered_pages(items.limit(0), "k").count() == 0
+
+
+def test_postings_without_fields(spark):
+    said = [None, "", "[]", "{}", '{"value": null}', '["Pune"]']
+    assert [tuple(r) for r in _one(spark, D.posted_place, said)] == [(None,) * 4, (None, None, None, "")] + [(None,) * 4] * 3 + [(None, None, None, "Pune")]
+    assert _one(spark, D.posted_pay, said) == [None] * 6
