@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, fingerprint, lm, minhash, mixing, pii, quality, secrets, substrings
+from tessera.llm import bpe, chat, fingerprint, linededup, lm, minhash, mixing, pii, quality, secrets, substrings
 from tessera.llm.common import documents
 
 
@@ -54,6 +54,10 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.query(documents(spark, sf_dir))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
+    "op11_line_dedup": op11_line_dedup,
     "quality_ablations": quality_ablations,
 }
 
@@ -73,5 +78,6 @@ SQL: dict[str, str] = {
     "op3_mixing": mixing.SQL,
     "op4_minhash_dedup": minhash.SQL,
     "op10_quality_rules": quality.SQL,
+    "op11_line_dedup": linededup.SQL,
     "quality_ablations": quality.ABLATION_SQL,
 }
