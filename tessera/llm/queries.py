@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, fingerprint, linededup, lm, minhash, mixing, pii, quality, secrets, substrings
+from tessera.llm import align, bpe, chat, collocations, fingerprint, linededup, lm, minhash, mixing, pii, quality, secrets, substrings
 from tessera.llm.common import documents
 
 
@@ -58,6 +58,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.query(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.query(documents(spark, sf_dir))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.query(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
     "op11_line_dedup": op11_line_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_alignment": op13_alignment,
     "quality_ablations": quality_ablations,
 }
 
@@ -79,5 +89,6 @@ SQL: dict[str, str] = {
     "op4_minhash_dedup": minhash.SQL,
     "op10_quality_rules": quality.SQL,
     "op11_line_dedup": linededup.SQL,
+    "op12_collocations": collocations.SQL,
     "quality_ablations": quality.ABLATION_SQL,
 }
