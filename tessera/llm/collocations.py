@@ -29,8 +29,8 @@ LONGEST, AT_LEAST, TOP = 5, 100, 2000
 WORD_CELLS, PAIR_CELLS, CHUNK = 1 << 20, 1 << 23, 1 << 16
 #: Occurrences of a pivot in one part, by its cell.
 PART = 1 << 15
-#: Words that a task counts before it passes their counts on.
-COUNTED = 300_000
+#: Words that a task counts before it passes their counts on, and characters that it reads at once.
+COUNTED, AT_ONCE = 60_000, 400_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BREAKS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(_BREAKS) + b" ")
@@ -69,7 +69,7 @@ def read(texts: list[str | None], lang: str, powers: Powers) -> Words:
 
 
 def _by_lang(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[str | None]]]:
-    for rows in batches(frames, 1_500_000):
+    for rows in batches(frames, AT_ONCE):
         for lang, part in rows.groupby("lang", sort=False):
             yield lang, part["text"].tolist()
 
@@ -84,7 +84,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, counted = Powers(), Counter()
         cells = np.zeros(WORD_CELLS + PAIR_CELLS, np.uint32)
-        said = lambda: pd.DataFrame([(*k, n, None, None) for k, n in counted.items()], columns=["lang", "word", "n", "chunk", "cells"])
+        said = lambda: pd.DataFrame({"lang": [k[0] for k in counted], "word": [k[1] for k in counted], "n": list(counted.values()), "chunk": None, "cells": None})
         for lang, texts in _by_lang(frames):
             w = read(texts, lang, powers)
             for word, n in Counter(w.raw.split()).items():
