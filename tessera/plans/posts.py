@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fields as D
 from tessera.functions import titles as T
 from tessera.functions.text import first_label
-from tessera.operators import scores, sinks
+from tessera.operators import alerts, scores, sinks
 from tessera.operators import verdicts as V
 from tessera.plans.fields import _said
 from tessera.plans.registry import Tables, query
@@ -311,7 +311,6 @@ def r10(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     listed = lambda test, *w: F.when(test, F.array(*map(F.lit, w))).otherwise(F.array().cast("array<string>"))
     kind = F.get(F.array(F.lit("all"), F.lit("private"), F.lit("government")), (k % 3).cast("int"))
-    alerts = t.supplier.select("s_suppkey", kind.alias("kind"), listed(k % 2 == 0, "red", "cold").alias("words"), listed(k % 5 == 0, "widget").alias("fields"))
+    made = t.supplier.select("s_suppkey", kind.alias("kind"), listed(k % 2 == 0, "red", "cold").alias("keywords"), listed(k % 5 == 0, "widget").alias("fields"))
     sector = F.when(F.col("p_type") == "PROMO", "Public Sector").otherwise("Private")
-    wanted = scores.alerted(F.col("kind"), F.col("words"), F.col("fields"), sector, F.col("p_name"))
-    return alerts.join(t.part, wanted).select("s_suppkey", "p_partkey")
+    return alerts.matches(made, t.part, "s_suppkey", "p_partkey", "p_name", alerts.sector_gate(F.col("kind"), sector))
