@@ -1,4 +1,4 @@
-"""Scores by parts, merges that keep decisions, conflicts, outboxes and windows of a rate limit."""
+"""Scores by parts, merges that keep decisions, conflicts and outboxes."""
 
 from __future__ import annotations
 
@@ -41,9 +41,3 @@ def conflicts(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]
 def not_sent(pairs: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs that no delivery has yet, each once."""
     return pairs.dropDuplicates(keys).join(sent, keys, "left_anti")
-
-
-def bucket_limit(rows: DataFrame, key: str, time: str, order: str, length: str, most: int) -> DataFrame:
-    """allowed: whether a row is among the first `most` of its key in a window of fixed length."""
-    place = F.row_number().over(Window.partitionBy(key, F.window(F.col(time).cast("timestamp"), length)).orderBy(time, order))
-    return rows.withColumn("allowed", place <= most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import alerts
+from tessera.operators import alerts, limits
 from tessera.plans.registry import NOW, Tables, query
 
 
@@ -23,3 +23,13 @@ def r10_index(t: Tables) -> DataFrame:
     made = t.benchmark.select("item_id", kind.alias("kind"), keywords.alias("keywords"), fields.alias("fields"))
     sector = F.when(F.col("source").isin("src0", "src1", "src2"), "Government").otherwise("Private")
     return alerts.matches(made, t.documents, "item_id", "doc_id", "text", alerts.sector_gate(F.col("kind"), sector))
+
+
+@query("o03_rate_limit", """
+WITH RECURSIVE s AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id
+    UNION ALL SELECT e.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts > s.s + INTERVAL 1 DAY GROUP BY e.user_id),
+w AS (SELECT event_id, e.user_id, e.ts, max(s.s) AS s FROM events e JOIN s ON e.user_id = s.user_id AND s.s <= e.ts GROUP BY event_id, e.user_id, e.ts)
+SELECT event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) <= 2 AS allowed FROM w""")
+def o03(t: Tables) -> DataFrame:
+    """Two events of a user in a day that begins with the first of them."""
+    return limits.first_hit_limit(t.events, "user_id", "ts", "event_id", 86_400, 2).select("event_id", "allowed")

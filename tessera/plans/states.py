@@ -92,11 +92,6 @@ def c04(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", named.alias("class"), first_reason([("vetoed", veto), ("small", F.col("p_size") < 3)]).alias("reason"))
 
 
-@query("o03_rate_limit", "SELECT event_id, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) <= 2 AS allowed FROM events")
-def o03(t: Tables) -> DataFrame:
-    return O.bucket_limit(t.events, "user_id", "ts", "event_id", "1 day", 2).select("event_id", "allowed")
-
-
 @query("o06_not_sent", "SELECT DISTINCT user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE value > 300)")
 def o06(t: Tables) -> DataFrame:
     keys = ["user_id", "event_type"]
