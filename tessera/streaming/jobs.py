@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,3 +31,15 @@ def sessions(events: DataFrame, user: str, at: str, gap: str, delay: str) -> Dat
 def write(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """What has arrived so far, in micro-batches, appended to files once each; a restart goes on behind the last batch written."""
     return stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def in_batches(source: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, seconds: float) -> bool:
+    """Run apply on a source's micro-batches (maxFilesPerTrigger sets their size) for so long, or until nothing is left: then True.
+
+    A run that stops or dies goes on from its checkpoint with the batch that it didn't finish, under the same number: apply commits by it.
+    """
+    query = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        return query.awaitTermination(seconds)
+    finally:
+        query.stop()
