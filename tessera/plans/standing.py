@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import alerts, limits
-from tessera.plans.registry import NOW, Tables, query
+from tessera.operators import alerts, horizons, limits
+from tessera.plans.registry import Tables, query
+from tessera.streaming import apart
 
 
 @query("r10_alert_index", r"""
@@ -33,3 +34,29 @@ SELECT event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_i
 def o03(t: Tables) -> DataFrame:
     """Two events of a user in a day that begins with the first of them."""
     return limits.first_hit_limit(t.events, "user_id", "ts", "event_id", 86_400, 2).select("event_id", "allowed")
+
+
+@query("o04_sliding", """
+WITH d AS (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day), h AS (SELECT unnest([1, 2, 7, 30]) AS horizon)
+SELECT day, CAST(horizon AS INTEGER) AS horizon, count(event_id) AS n, count(DISTINCT user_id) AS keys FROM d CROSS JOIN h
+LEFT JOIN events ON CAST(ts AS DATE) <= day AND CAST(ts AS DATE) > day - horizon GROUP BY ALL""")
+def o04(t: Tables) -> DataFrame:
+    return horizons.sliding(t.events, F.to_date("ts"), "user_id", [1, 2, 7, 30], F.lit("2024-01-31").cast("date"))
+
+
+@query("o05_apart", """
+WITH l AS (SELECT l_orderkey % 24 AS run, CASE WHEN l_linenumber % 10 <> 7 THEN CAST(l_shipdate AS TIMESTAMP) END AS moment FROM lineitem),
+m AS (SELECT run, max(moment) FILTER (WHERE moment BETWEEN TIMESTAMP '1997-06-01' - INTERVAL 1000 DAY AND TIMESTAMP '1997-06-01' + INTERVAL 2 HOUR) AS newest FROM l GROUP BY run),
+s AS (SELECT run, max(newest) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m)
+SELECT run, CASE WHEN moment IS NULL THEN 'undated' WHEN moment > TIMESTAMP '1997-06-01' + INTERVAL 2 HOUR THEN 'future' WHEN moment < TIMESTAMP '1997-06-01' - INTERVAL 1000 DAY THEN 'too_old'
+    WHEN moment < seen - INTERVAL 300 DAY THEN 'late' ELSE 'in_time' END AS side, count(*) AS n FROM l JOIN s USING (run) GROUP BY ALL""")
+def o05(t: Tables) -> DataFrame:
+    """Lines as if they came in 24 runs: which are in time, late, too old, from the future or without a time."""
+    at = F.when(F.col("l_linenumber") % 10 != 7, F.col("l_shipdate").cast("timestamp"))
+    lines = t.lineitem.select((F.col("l_orderkey") % 24).alias("run"), at.alias("at"))
+    now, ahead, oldest = F.lit("1997-06-01").cast("timestamp"), "2 hours", "1000 days"
+    dated = apart.side(F.col("at"), now, F.lit(None).cast("timestamp"), "300 days", ahead, oldest) == "in_time"
+    newest = lines.groupBy("run").agg(F.max(F.when(dated, F.col("at"))).alias("newest"))  # a row a run
+    seen = newest.select("run", F.max("newest").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)).alias("seen"))
+    sides = lines.join(seen, "run").withColumn("side", apart.side(F.col("at"), now, F.col("seen"), "300 days", ahead, oldest))
+    return sides.groupBy("run", "side").agg(F.count(F.lit(1)).alias("n"))
