@@ -11,6 +11,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,8 @@ from tessera.llm.bpe import byte_symbols
 from tessera.llm.common import batches, cut, lookup_unique
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Stretches of text that a worker remembers, and the longest of these in characters; the memory is emptied when it is full.
-REMEMBERED, LONGEST = 150_000, 48
+#: Stretches of text that a worker remembers, twice at most, and the longest of these in characters.
+REMEMBERED, LONGEST = 120_000, 48
 #: Characters of a block of documents; a longer text is a block of its own.
 BLOCK = 4_000_000
 
@@ -33,24 +34,20 @@ _SPAN = re.compile(rb"[^x]*x")
 _ODD_SPACE, _LONE_SPACE = re.compile(r"\s\s|\s$"), re.compile(r"(?<=\S) (?=\S)")
 
 
-def labels(a: list[int], b: list[int], size: int) -> bytearray:
+def labels(a: np.ndarray, b: np.ndarray, size: int) -> bytes:
     """The label of each of `size` bytes, from the numbers of bytes of the tokens of either side."""
-    out = bytearray([NONE]) * size
-    at = -1
-    for n in a:
-        at += n
-        out[at] = A_END
-    at = -1
-    for n in b:
-        at += n
-        out[at] = BOTH if out[at] == A_END else B_END
-    return out
+    out = np.full(size, NONE, np.uint8)
+    out[np.cumsum(a) - 1] = A_END
+    ends = np.cumsum(b) - 1
+    out[ends] = np.where(out[ends] == A_END, BOTH, B_END)
+    return out.tobytes()
 
 
-def groups(marks: bytes) -> list[tuple[int, int, bytes]]:
-    """Of each group: its numbers of A and of B tokens, and the labels of its span that end a token."""
-    spans = _SPAN.findall(marks.translate(None, bytes([NONE])))
-    return [(1, 1, s) if len(s) == 1 else (s.count(b"a") + 1, s.count(b"b") + 1, s) for s in spans]
+def groups(marks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The labels that end a token, and of each group how many of them its span has, and where it ends among them."""
+    ends = marks.translate(None, bytes([NONE]))
+    sizes = np.fromiter(map(len, _SPAN.findall(ends)), np.int64)
+    return np.frombuffer(ends, np.uint8), sizes, np.cumsum(sizes) - 1
 
 
 class Aligner:
@@ -72,7 +69,10 @@ class Aligner:
         self.a_bytes = {i: bytes(byte_of[c] for c in p) if all(c in byte_of for c in p) else p.encode() for p, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.known: dict[str, tuple] = {}
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_sizes = np.array([len(x) for x in self.b_bytes])
+        self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -80,44 +80,63 @@ class Aligner:
         first, *rest = _LONE_SPACE.split(text) if text[:1].isspace() or _ODD_SPACE.search(text) else text.split(" ")
         return [" " + first, *[" " + p for p in rest]]
 
-    def _aligned(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
-        """n_a, n_b, n_groups, groups as text, links as pairs (a << 32 | b); None where the bytes differ."""
-        raw = stretch.encode()
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(x) != raw or b"".join(y) != raw:
-            return None
-        said, links, i, j = [], [], 0, 0
-        for n, m, span in groups(labels([len(t) for t in x], [len(t) for t in y], len(raw))):
-            if n == m == 1:
+    def learn(self, new: list[str]) -> dict[str, tuple | None]:
+        """Of each stretch n_a, n_b, n_groups, the groups as text and the links as bytes of pairs (a << 32 | b); None where the bytes differ.
+
+        All are laid end to end: as both sides end a token at the end of each, no group passes from one to the next.
+        """
+        found: dict[str, tuple | None] = {s: None for s in new if "▁" in s}  # which the pieces take for a space
+        new = [s for s in new if "▁" not in s]
+        if not new:
+            return found
+        a, b = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode([s[1:] for s in new], num_threads=1)
+        n, m = np.fromiter(map(len, a), np.int64), np.fromiter(map(len, b), np.int64)
+        x, y = np.fromiter(chain.from_iterable(a), np.int64, n.sum()), np.fromiter(chain.from_iterable(b), np.int64, m.sum())
+        a, b = x.tolist(), y.tolist()
+        raw = "".join(new).encode()
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+            if len(new) == 1:
+                return found | {new[0]: None}
+            return found | self.learn(new[: len(new) // 2]) | self.learn(new[len(new) // 2 :])
+        ends, _, last = groups(labels(self.a_sizes[x], self.b_sizes[y], len(raw)))
+        a_ends, b_ends = np.cumsum(ends != B_END), np.cumsum(ends != A_END)
+        # up to each label the tokens that it stands in overlap
+        links = (x[a_ends - (ends != B_END)] << 32 | y[b_ends - (ends != A_END)]).tobytes()
+        said, i, j = [], 0, 0
+        for p, q in zip(a_ends[last].tolist(), b_ends[last].tolist(), strict=True):
+            if p - i == q - j == 1:
                 said.append(f"{a[i]}|{b[j]}")
-                links.append(a[i] << 32 | b[j])
             else:
-                said.append(f"{','.join(map(str, a[i : i + n]))}|{','.join(map(str, b[j : j + m]))}")
-                p, q = i, j
-                for label in span:  # up to here the tokens p and q overlap
-                    links.append(a[p] << 32 | b[q])
-                    p += label != B_END
-                    q += label != A_END
-            i, j = i + n, j + m
-        return len(a), len(b), len(said), ";".join(said), links
-
-    def learn(self, new: list[str]) -> dict[str, tuple | None]:
-        a = self.a.encode_batch(new, add_special_tokens=False)
-        b = self.b.encode([s[1:] for s in new], num_threads=1)
-        return {s: self._aligned(s, x.ids, y) for s, x, y in zip(new, a, b, strict=True)}
-
-    def align(self, texts: list[str]) -> tuple[list[dict[str, tuple | None]], list[list[str]]]:
+                said.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
+            i, j = p, q
+        group = np.searchsorted(a_ends[last], np.cumsum(n)) + 1
+        link = (last[group - 1] + 1) * 8
+        g = k = 0
+        for s, n_a, n_b, h, e in zip(new, n.tolist(), m.tolist(), group.tolist(), link.tolist(), strict=True):
+            found[s] = (n_a, n_b, h - g, ";".join(said[g:h]), links[k:e])
+            g, k = h, e
+        return found
+
+    def align(self, texts: list[str]) -> tuple[dict[str, tuple | None], list[list[str]]]:
         """What is known of the stretches of the texts, and these stretches."""
         cut = [self.stretches(t) if t else [] for t in texts]
-        here = set().union(*cut)
-        found = {s: self.known[s] for s in here if s in self.known}
-        new = list(here - found.keys())
-        for i in range(0, len(new), 2000):
-            found |= self.learn(new[i : i + 2000])
-        short = [s for s in new if len(s) <= LONGEST]
-        if len(self.known) + len(short) > REMEMBERED:
-            self.known.clear()
-        self.known.update((s, found[s]) for s in short[:REMEMBERED])
+        found: dict[str, tuple | None] = {}
+        new = []
+        for s in set().union(*cut):
+            if s in self.known:
+                found[s] = self.known[s]
+            elif s in self.older:
+                found[s] = self.known[s] = self.older[s]
+            else:
+                new.append(s)
+        for i in range(0, len(new), 5000):
+            found |= self.learn(new[i : i + 5000])
+        # what was not met since the memory was last full is forgotten when it is full again
+        for s in new:
+            if len(s) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known, self.older = {}, self.known
+                self.known[s] = found[s]
         return found, cut
 
 
@@ -126,23 +145,24 @@ def _block(texts: list[str], aligner: Aligner) -> tuple[list[tuple], np.ndarray,
     found, cut = aligner.align(texts)
     held = [s for s, x in found.items() if x]
     number = {s: i for i, s in enumerate(held)}
-    links = [found[s][4] for s in held]
-    size = np.array([len(x) for x in links], np.int64)
-    pairs, code = np.unique(np.fromiter((p for x in links for p in x), np.int64, int(size.sum())), return_inverse=True)
+    said = [found[s][3] for s in held]
+    figures = np.array([found[s][:3] for s in held], np.int64).reshape(-1, 3)
+    size = np.fromiter((len(found[s][4]) // 8 for s in held), np.int64, len(held))
+    pairs, code = np.unique(np.frombuffer(b"".join([found[s][4] for s in held]), np.int64), return_inverse=True)
     start = np.cumsum(size) - size
     rows, docs = [], np.zeros(len(pairs), np.int64)
     for parts in cut:
-        if not parts or any(found[s] is None for s in parts):
+        at = [number.get(s, -1) for s in parts]
+        if not at or min(at) < 0:
             rows.append((0, 0, 0, 0, "", b"", b""))
             continue
-        each = [found[s] for s in parts]
-        at = np.array([number[s] for s in parts])
+        text = ";".join([said[k] for k in at])
+        at = np.array(at)
         n = size[at]
         where = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         pair, times = np.unique(code[where], return_counts=True)
         docs[pair] += 1
-        a, b, g, said, _ = zip(*each, strict=True)
-        rows.append((sum(a), sum(b), sum(g), int(n.sum()), ";".join(said), pair.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()))
+        rows.append((*figures[at].sum(axis=0).tolist(), int(n.sum()), text, pair.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()))
     used = docs > 0  # a stretch of a text that is left out may have brought in others
     to = np.cumsum(used) - 1
     rows = [(*r[:5], to[np.frombuffer(r[5], np.uint32)].astype(np.uint32).tobytes(), r[6]) for r in rows]
