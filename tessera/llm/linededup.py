@@ -160,7 +160,7 @@ def remove(index: Index, docs: DataFrame) -> Index:
     """The index without docs, known by their ids (by their texts where an id is null); those not in it change nothing."""
     out = docs.select(*_holder()).distinct()
     touched = cut(index.refs.join(out, ["nameless", "h"], "left_semi").select("key").distinct())
-    refs = cut(index.refs.join(out, ["nameless", "h"], "left_anti"))
+    refs = cut(index.refs.join(out, ["nameless", "h"], "left_anti").select("key", "nameless", "h"))
     fresh = cut(_counted(refs.join(touched, "key", "left_semi")))
     return _changed(index, refs, index.counts, fresh, touched)
 
