@@ -1,11 +1,11 @@
 """Collocations by pivot partitioning: every n-gram is counted where its rarest word is, and nowhere else.
 
-A first pass counts words exactly, and words and neighbouring pairs once more in tables of fixed size by hash. A cell of these bounds
-the count of all that falls into it, so a word or pair of a low cell is in no frequent phrase, and text is cut there. The second pass
-rewrites the rest: around each occurrence of a word it keeps the words to the left that are more frequent, and those to the right that
-are not rarer, up to four. Such a fragment goes to its word, the pivot; there the n-grams over the pivot's place are counted. Rarity is
-the word's cell, then its hash, which is a total order; of equal words the leftmost is the pivot. Pivots with many occurrences are
-split over parts by the fragment, whose sums are added up once more.
+A first pass counts words and their neighbouring pairs and triples in tables of fixed size, by hash. A cell bounds the count of all
+that falls into it, so what has a low cell is in no frequent phrase, and text is cut there. The second pass rewrites the rest: around
+each occurrence of a word it keeps the words to the left that are more frequent, and those to the right that are not rarer, up to four.
+Such a fragment goes to its word, the pivot; there the n-grams over the pivot's place are counted. Rarity is the word's cell, then its
+hash, which is a total order; of equal words the leftmost is the pivot. Pivots with many occurrences are split over parts by the
+fragment, whose sums are added up once more. With far more text than cells the tables cut little, and fragments grow to nine words.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Powers, batches, cut, mix, prefix_sums, stretch_hashes
 
 LONGEST, AT_LEAST, TOP = 5, 100, 2000
-#: Cells for words and for pairs, in chunks; their tables are all that is broadcast (4 MB and 1 MB).
-WORD_CELLS, PAIR_CELLS, CHUNK = 1 << 20, 1 << 23, 1 << 16
+#: Cells for words, and as many for pairs as for triples, in chunks; their tables are all that is broadcast (4 MB and 1 MB).
+WORD_CELLS, CELLS, CHUNK = 1 << 20, 1 << 22, 1 << 16
 #: Occurrences of a pivot in one part, by its cell.
 PART = 1 << 15
 #: Words that a task counts before it passes their counts on, and characters that it reads at once.
@@ -50,10 +50,13 @@ class Words(NamedTuple):
     def cells(self) -> np.ndarray:
         return (self.hashes & np.uint64(WORD_CELLS - 1)).astype(np.int64)
 
-    def pair_cells(self) -> np.ndarray:
+    def pair_cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each word with the next one, and of each with the next two."""
         with np.errstate(over="ignore"):
             pair = mix(self.hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[1:])
-        return (pair & np.uint64(PAIR_CELLS - 1)).astype(np.int64)
+            triple = mix(pair[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[2:])
+        cell = lambda x: (x & np.uint64(CELLS - 1)).astype(np.int64)
+        return cell(pair), CELLS + cell(triple)
 
 
 def read(texts: list[str | None], lang: str, powers: Powers) -> Words:
@@ -79,31 +82,27 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """Rows lang, word, n (counts of words, several rows a word), and rows chunk, cells: parts of the tables by hash."""
+    """chunk, cells: each task's part of the tables by hash, packed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, counted = Powers(), Counter()
-        cells = np.zeros(WORD_CELLS + PAIR_CELLS, np.uint32)
-        said = lambda: pd.DataFrame({"lang": [k[0] for k in counted], "word": [k[1] for k in counted], "n": list(counted.values()), "chunk": None, "cells": None})
+        powers = Powers()
+        cells = np.zeros(WORD_CELLS + 2 * CELLS, np.uint32)
         for lang, texts in _by_lang(frames):
             w = read(texts, lang, powers)
-            for word, n in Counter(w.raw.split()).items():
-                counted[lang, word.decode("utf-8", "replace")] += n
-            if len(counted) > COUNTED:
-                yield said()
-                counted.clear()
             np.add.at(cells, w.cells(), 1)
-            np.add.at(cells, WORD_CELLS + w.pair_cells()[w.joined], 1)
-        yield said()
+            if len(w.starts) > 1:
+                pairs, triples = w.pair_cells()
+                np.add.at(cells, WORD_CELLS + pairs[w.joined], 1)
+                np.add.at(cells, WORD_CELLS + triples[w.joined[:-1] & w.joined[1:]], 1)
         for i in range(0, len(cells), CHUNK):
             if cells[i : i + CHUNK].any():
-                yield pd.DataFrame([(None, None, None, i // CHUNK, cells[i : i + CHUNK].tobytes())], columns=["lang", "word", "n", "chunk", "cells"])
+                yield pd.DataFrame({"chunk": [i // CHUNK], "cells": [zlib.compress(cells[i : i + CHUNK].tobytes(), 1)]})
 
-    return _texts(docs).mapInPandas(run, "lang string, word string, n long, chunk int, cells binary")
+    return _texts(docs).mapInPandas(run, "chunk int, cells binary")
 
 
 def tables(chunks: DataFrame, at_least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of words, up to 2**32 - 1, and whether each cell of pairs reaches at_least. Of fixed size, whatever the input."""
+    """The cells of words, up to 2**32 - 1, and whether each cell of pairs or triples reaches at_least. Of fixed size, whatever the input."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, total = None, np.zeros(CHUNK, np.int64)
@@ -114,51 +113,67 @@ def tables(chunks: DataFrame, at_least: int) -> tuple[np.ndarray, np.ndarray]:
                     if at is not None:
                         yield said()
                     at, total = chunk, np.zeros(CHUNK, np.int64)
-                total += np.frombuffer(raw, np.uint32)
+                total += np.frombuffer(zlib.decompress(raw), np.uint32)
         if at is not None:
             yield said()
 
-    words, pairs = np.zeros(WORD_CELLS, np.uint32), np.zeros(PAIR_CELLS // 8, np.uint8)
+    words, runs = np.zeros(WORD_CELLS, np.uint32), np.zeros(2 * CELLS // 8, np.uint8)
     for chunk, raw in chunks.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(run, "chunk int, cells binary").collect():
         if chunk < WORD_CELLS // CHUNK:
             words[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(raw, np.uint32)
         else:
             at = (chunk - WORD_CELLS // CHUNK) * CHUNK // 8
-            pairs[at : at + CHUNK // 8] = np.frombuffer(raw, np.uint8)
-    return words, pairs
+            runs[at : at + CHUNK // 8] = np.frombuffer(raw, np.uint8)
+    return words, runs
 
 
-def extents(rarity: np.ndarray, open_: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many words to the left of each are more frequent, and to the right not rarer, without a gap in open_, up to reach."""
+def extents(rarity: np.ndarray, pairs: np.ndarray, triples: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many words to the left of each are more frequent, and to the right not rarer, up to reach, as far as pairs and triples of neighbours go on."""
     n = len(rarity)
     left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
     goes_left, goes_right = np.ones(n, bool), np.ones(n, bool)
     for d in range(1, min(reach, n - 1) + 1):
+        run = pairs if d == 1 else triples  # the run that the word brings in
         goes_left[:d] = False
-        goes_left[d:] &= open_[: n - d] & (rarity[: n - d] > rarity[d:])
+        goes_left[d:] &= run[: n - d] & (rarity[: n - d] > rarity[d:])
         goes_right[n - d :] = False
-        goes_right[: n - d] &= open_[d - 1 :] & (rarity[d:] >= rarity[: n - d])
+        goes_right[: n - d] &= run[max(d - 2, 0) :][: n - d] & (rarity[d:] >= rarity[: n - d])
         left += goes_left
         right += goes_right
     return left, right
 
 
 def fragments(docs: DataFrame, known: Broadcast, at_least: int, longest: int) -> DataFrame:
-    """lang, pivot, part, parts, place (of the pivot), fragment, n: the rewritten text, equal fragments of a batch once."""
+    """lang, pivot, part, parts, place (of the pivot), fragment, n: the rewritten text, equal fragments of a batch once.
+
+    Words that may be frequent are fragments by themselves, and the empty fragment has the number of all words of its lang.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = Powers()
-        words, pairs = known.value
+        powers, counted = Powers(), Counter()
+        words, runs = known.value
+        flag = lambda cells: ((runs[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
+        said = lambda: pd.DataFrame({"lang": [k[0] for k in counted], "pivot": [k[1] for k in counted], "part": 0, "parts": 1, "place": 0, "fragment": [k[1] for k in counted], "n": list(counted.values())})
         for lang, texts in _by_lang(frames):
             w = read(texts, lang, powers)
+            text = lambda a, b, raw=w.raw: [raw[i:j].decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            counted[lang, ""] += len(w.starts)
+            often = words[w.cells()]
+            frequent = often >= at_least
+            _, first, n = np.unique(w.hashes[frequent], return_index=True, return_counts=True)
+            first = np.flatnonzero(frequent)[first]
+            for word, k in zip(text(w.starts[first], w.ends[first]), n.tolist(), strict=True):
+                counted[lang, word] += k
+            if len(counted) > COUNTED:
+                yield said()
+                counted.clear()
             if len(w.starts) < 2:
                 continue
-            often = words[w.cells()]
-            cells = w.pair_cells()
-            frequent = (pairs[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1
-            open_ = w.joined & (frequent == 1) & (often[:-1] >= at_least) & (often[1:] >= at_least)
+            pairs, triples = w.pair_cells()
+            pairs = w.joined & frequent[:-1] & frequent[1:] & flag(pairs)
+            triples = pairs[:-1] & pairs[1:] & flag(triples)
             rarity = (often.astype(np.uint64) << np.uint64(32)) | (w.hashes >> np.uint64(32))
-            left, right = extents(rarity, open_, longest - 1)
+            left, right = extents(rarity, pairs, triples, longest - 1)
             at = np.flatnonzero(left + right)
             if not len(at):
                 continue
@@ -168,32 +183,30 @@ def fragments(docs: DataFrame, known: Broadcast, at_least: int, longest: int) ->
             same, first, n = np.unique(same, return_index=True, return_counts=True)
             at, begin, end = at[first], begin[first], end[first]
             parts = often[at].astype(np.int64) // PART + 1
-            text = lambda a, b, raw=w.raw: [raw[i:j].decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             found = {"lang": lang, "pivot": text(w.starts[at], w.ends[at]), "part": (same % parts.astype(np.uint64)).astype(np.int64), "parts": parts}
             yield pd.DataFrame(found | {"place": left[at], "fragment": text(begin, end), "n": n})
+        yield said()
 
     return _texts(docs).mapInPandas(run, "lang string, pivot string, part long, parts long, place int, fragment string, n long")
 
 
 def _owned(longest: int) -> Column:
-    """The n-grams of two words or more over the pivot's place."""
-    return F.expr(f"""flatten(transform(sequence(0, place), s -> CASE WHEN greatest(place, s + 1) <= least(size(w) - 1, s + {longest - 1})
+    """The n-grams of two words or more over the pivot's place; of a fragment of one word, itself."""
+    return F.expr(f"""CASE WHEN size(w) = 1 THEN w ELSE flatten(transform(sequence(0, place), s -> CASE WHEN greatest(place, s + 1) <= least(size(w) - 1, s + {longest - 1})
         THEN transform(sequence(greatest(place, s + 1), least(size(w) - 1, s + {longest - 1})), e -> array_join(slice(w, s + 1, e - s + 1), ' '))
-        ELSE array() END))""")
+        ELSE array() END)) END""")
 
 
 def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """Words and phrases (lang, phrase, f) that occur at_least times, and the number of words n of each lang."""
+    """Words and phrases (lang, phrase, f) that occur at_least times, and the number of words n of each lang that has so many."""
     spark: SparkSession = docs.sparkSession
-    passed = cut(first_pass(docs))
-    words = cut(passed.where("word IS NOT NULL").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")))
-    known = spark.sparkContext.broadcast(tables(passed.where("chunk IS NOT NULL").select("chunk", "cells"), at_least))
+    known = spark.sparkContext.broadcast(tables(first_pass(docs), at_least))
     routed = fragments(docs, known, at_least, longest).repartition("lang", "pivot", "part")
     grams = routed.withColumn("w", F.split("fragment", " ")).select("lang", "pivot", "part", "parts", "n", F.explode(_owned(longest)).alias("phrase"))
     # the pivot's own partition has all of a part's fragments: no shuffle here
     mined = grams.groupBy("lang", "pivot", "part", "parts", "phrase").agg(F.sum("n").alias("f")).where((F.col("parts") > 1) | (F.col("f") >= at_least))
-    phrases = mined.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= at_least)
-    return cut(words.where(F.col("f") >= at_least).unionByName(phrases)), words.groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = cut(mined.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= at_least))
+    return frequent.where("phrase <> ''"), frequent.where("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def _part(a: Column | int, n: Column | int) -> Column:

@@ -149,10 +149,13 @@ def test_phrases(docs, monkeypatch, at_least, part):
 
 
 def test_extents():
-    rarity, open_ = np.array([5, 3, 3, 9, 1, 7], np.uint64), np.array([1, 1, 1, 1, 1], bool)
-    left, right = collocations.extents(rarity, open_, 4)
+    rarity, pairs, triples = np.array([5, 3, 3, 9, 1, 7], np.uint64), np.ones(5, bool), np.ones(4, bool)
+    left, right = collocations.extents(rarity, pairs, triples, 4)
     assert left.tolist() == [0, 1, 0, 0, 4, 0] and right.tolist() == [0, 2, 1, 0, 1, 0]
-    assert collocations.extents(rarity[:1], open_[:0], 4)[0].tolist() == [0]
+    triples[1] = False  # 3 3 9
+    left, right = collocations.extents(rarity, pairs, triples, 4)
+    assert left.tolist() == [0, 1, 0, 0, 2, 0] and right.tolist() == [0, 1, 1, 0, 1, 0]
+    assert collocations.extents(rarity[:1], pairs[:0], triples[:0], 4)[0].tolist() == [0]
 
 
 def _aligned(rows):
