@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -44,22 +46,33 @@ def _own_dir() -> str:
     return made
 
 
-#: Tables that cut() wrote and that are still there, oldest first.
+#: Tables that cut() wrote outside of own_cuts() and that are still there, oldest first.
 CUTS: list[str] = []
+_OWN: ContextVar[list[str]] = ContextVar("own", default=CUTS)
 
 
-def drop_cuts(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
-    """Delete the tables of cut() from the given number on, except that of `but`; for callers that have read or written the results."""
+@contextmanager
+def own_cuts() -> Iterator[list[str]]:
+    """Within, the tables of cut() are listed by themselves: a query that runs beside in the same driver neither sees nor loses any."""
+    token = _OWN.set([])
+    try:
+        yield _OWN.get()
+    finally:
+        _OWN.reset(token)
+
+
+def drop_cuts(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete the tables of cut(), except that of `but`; for callers that have read or written the results."""
     keep = {name.rpartition("/")[0].rpartition("/")[2] for name in but.inputFiles()} if but is not None else set()
-    for path in [p for p in CUTS[since:] if p.rpartition("/")[2] not in keep]:
+    for path in [p for p in _OWN.get() if p.rpartition("/")[2] not in keep]:
         _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    if path in CUTS:
-        CUTS.remove(path)
+    if path in _OWN.get():
+        _OWN.get().remove(path)
 
 
 def cut(df: DataFrame, less: int = 1) -> DataFrame:
@@ -72,14 +85,14 @@ def cut(df: DataFrame, less: int = 1) -> DataFrame:
         df = df.coalesce(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // less))
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    CUTS.append(path)
+    _OWN.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that cut() made and that nothing will read again."""
     names = {name.rpartition("/")[0].rpartition("/")[2] for name in df.inputFiles()}
-    for path in [p for p in CUTS if p.rpartition("/")[2] in names]:
+    for path in [p for p in _OWN.get() if p.rpartition("/")[2] in names]:
         _delete(df.sparkSession, path)
 
 

@@ -317,13 +317,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     stay = found.groupBy("label").agg(F.min(choice).alias("c")).select(F.col("c.row").alias("_row"))
     stay = stay.unionByName(rows.where("cls IS NULL AND doc_id IS NOT NULL").select(F.col("row").alias("_row"))).distinct()
     nameless = F.col("doc_id").isNull() & (F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == "")
-    marked = docs.where(~nameless).withColumn("_row", row_key())
+    marked = docs.where(~nameless).select(row_key().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     copies = rows.groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).alias("_copies"))
     stay = cut(stay.join(copies, "_row"))
     once, repeated = stay.where("_copies = 1"), stay.where("_copies > 1")
     kept = marked.join(once, "_row", "left_semi")
     again = lookup_unique(marked, cut(repeated), "_row", "_copies").dropDuplicates(["_row"])
-    return kept.select(*docs.columns).unionByName(again.select(*docs.columns)).unionByName(docs.where(nameless))
+    return kept.select("_doc.*").unionByName(again.select("_doc.*")).unionByName(docs.where(nameless))
 
 
 SQL = r"""

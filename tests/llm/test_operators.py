@@ -177,8 +177,9 @@ def test_minhash(docs):
     for i, rows in got.items():
         for r in rows:
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), find(i), i == find(i))
-    kept = minhash.deduplicated(docs)
-    assert kept.columns == docs.columns
+    kept = minhash.deduplicated(docs.withColumns({"_doc": F.lit(8), "_copies": F.lit(9)}))
+    assert kept.columns == [*docs.columns, "_doc", "_copies"]
+    assert {(r["_row"], r["_doc"], r["_copies"], r["label"]) for r in kept.collect()} == {(7, 8, 9, 7)}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in sets if find(i) == i)
 
 
