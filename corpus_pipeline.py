@@ -49,8 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; an empty table gives an empty result. Tables between stages go when the next is written."""
-    docs, first = documents(spark, sf_dir), len(common.CUTS)
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
-        common.drop_cuts(spark, first, but=docs)
+    docs = documents(spark, sf_dir)
+    with common.own_cuts():
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir))
+            common.drop_cuts(spark, but=docs)
     return docs
