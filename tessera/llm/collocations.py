@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Powers, batches, cut, mix, prefix_sums, stretch_hashes
 
 LONGEST, AT_LEAST, TOP = 5, 100, 2000
-#: Cells for words, and as many for pairs as for triples, in chunks; their tables are all that is broadcast (4 MB and 1 MB).
-WORD_CELLS, CELLS, CHUNK = 1 << 20, 1 << 22, 1 << 16
+#: Cells for words, and as many for pairs as for triples, in chunks: 138 MB in a task that counts. What is broadcast of them has 4 MB each.
+WORD_CELLS, CELLS, CHUNK = 1 << 20, 1 << 24, 1 << 16
 #: Occurrences of a pivot in one part, by its cell.
 PART = 1 << 15
 #: Words that a task counts before it passes their counts on, and characters that it reads at once.
