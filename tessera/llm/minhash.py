@@ -6,8 +6,9 @@ of a chunk those may be, and taking the others as a key, makes every such pair m
 similarity of 0.75 a pair is farther than DISTANCE with a chance of 3 in a million, less above.
 
 Links are confirmed on the full sets. As what is asked for are components, pairs that are connected already need no check: each
-round compares documents with a few others that they share keys with. Documents under keys that still hold different components are then compared
-by their rarest shingles, which misses no pair that is similar enough. So a group of n near copies costs a few n checks a round.
+round compares documents with a few others that they share keys with, one pair for any two components, until rounds find little.
+Documents under keys that still hold different components are then compared by their rarest shingles, which misses no pair that is
+similar enough: again the likeliest pair of two components first, and the others only where these are not connected by then.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from tessera.llm.components import components
 SHINGLE, PER_CENT = 5, 75
 POSITIONS, B, CHUNKS, ERRORS = 40, 24, 8, 2
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Rounds, of LEADERS checks a document at most, before all pairs left are checked.
-ROUNDS, LEADERS = 6, 3
+#: Rounds, of LEADERS checks a document at most, before all pairs left are looked at; fewer if a round links less than one in YIELD pairs.
+ROUNDS, LEADERS, YIELD = 6, 3, 20
 
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))
@@ -113,16 +114,17 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def keyed(reps: DataFrame) -> DataFrame:
-    """key, id: all keys of each representative."""
+    """key, id, n: all keys of each representative."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), 2000):
                 part = frame.iloc[i : i + 2000]
                 sigs = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, POSITIONS)
-                yield pd.DataFrame({"key": keys(sigs).view(np.int64).ravel(), "id": np.repeat(part["id"].to_numpy(np.int64), len(_KEPT))})
+                wide = {c: np.repeat(part[c].to_numpy(np.int64), len(_KEPT)) for c in ("id", "n")}
+                yield pd.DataFrame({"key": keys(sigs).view(np.int64).ravel()} | wide)
 
-    return reps.select("id", "sig").mapInPandas(run, "key long, id long")
+    return reps.select("id", "n", "sig").mapInPandas(run, "key long, id long, n long")
 
 
 def candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -146,8 +148,16 @@ def candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 _PAIR = "a long, b long, la long, lb long"
 
 
+def likeliest(pairs: DataFrame, most: int = 1) -> DataFrame:
+    """Of the pairs (a, b, la, lb, shared) `most` for any two labels: those which share most. la is the smaller label."""
+    least, greatest = F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")
+    named = pairs.select("a", "b", least, greatest, "shared").dropDuplicates(["a", "b"])
+    place = F.row_number().over(Window.partitionBy("la", "lb").orderBy(F.desc("shared"), F.xxhash64("a", "b"), "a", "b"))
+    return named.withColumn("place", place).where(F.col("place") <= most).drop("place", "shared")
+
+
 def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs (a, b, la, lb) of documents in shared that have different labels and may be similar enough, by their rarest shingles.
+    """All pairs (a, b, la, lb, shared) of documents in shared that have different labels and may be similar enough, by their rarest shingles.
 
     Shingles are ranked by how many of these documents have them, rare ones first. Two sets that share enough have their first common
     shingle so early in both ranks that what follows it can still hold the rest. A document of a group of near copies that has too
@@ -176,15 +186,16 @@ def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
     both = F.col("x.n") + F.col("y.n")
     meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
     pairs = x.join(y, meets & (left * (100 + PER_CENT) >= both * PER_CENT))
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+    named = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+    return named.groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """The pairs (a, b, la, lb) that are not among the pairs (a, b) of earlier rounds, by one aggregation."""
-    null = F.lit(None).cast("long")
-    old = tested.select("a", "b", null.alias("la"), null.alias("lb"), F.lit(True).alias("old"))
+    """The pairs (a, b and more) that are not among the pairs (a, b) of earlier rounds, by one aggregation."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    old = tested.select("a", "b", *[F.lit(None).cast("long").alias(c) for c in more], F.lit(True).alias("old"))
     both = pairs.withColumn("old", F.lit(False)).unionByName(old)
-    return both.groupBy("a", "b").agg(F.max("la").alias("la"), F.max("lb").alias("lb"), F.max("old").alias("old")).where("NOT old").drop("old")
+    return both.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in more], F.max("old").alias("old")).where("NOT old").drop("old")
 
 
 def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -205,17 +216,40 @@ def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb", "xa", "xb").mapInPandas(run, _PAIR)
 
 
+def settled(pairs: DataFrame, known: DataFrame) -> list[DataFrame]:
+    """Links (a, b, la, lb) among pairs (a, b, la, lb, shared), enough of them to connect all labels that any pair links.
+
+    Of two labels one pair is checked, then four more, and so on until they are connected or no pair is left: labels that many pairs
+    link are connected after a few checks.
+    """
+    links, most = [], 1
+    while True:
+        best = cut(likeliest(pairs, most), 8)
+        rest = cut(untested(pairs, best), 8)
+        links.append(cut(confirmed(best, known), 8))
+        if not rest.limit(1).count():
+            return links
+        # labels that are connected by now need no more checks
+        to = components(links[-1].select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        at = lambda c, to=to: to.select(F.col("id").alias(c), F.col("label").alias(f"{c}_to"))
+        moved = rest.join(at("la"), "la", "left").join(at("lb"), "lb", "left")
+        pairs = cut(moved.select("a", "b", F.coalesce("la_to", "la").alias("la"), F.coalesce("lb_to", "lb").alias("lb"), "shared").where("la <> lb"), 8)
+        drop_cut(rest)
+        most *= 4
+
+
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """id, label of the classes (id, row, cls, sig, copies) that are linked with others: the components of all links between them."""
     all_keys = cut(keyed(classes))
     counted = cut(all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), 8)
-    # rows of keys that are shared: key, id, and a label that only connected documents have in common
-    shared = cut(lookup_unique(all_keys, counted, "key", "n").select("key", "id", F.col("id").alias("label")))
+    # rows of keys that are shared: key, id, its size, and a label that only connected documents have in common
+    shared = cut(lookup_unique(all_keys.withColumnRenamed("n", "size"), counted, "key", "n").select("key", "id", "size", F.col("id").alias("label")))
     drop_cut(all_keys)
     drop_cut(counted)
     known = cut(candidates(docs, cut(classes.select("id", "row", "cls", "copies").join(shared.select("id").distinct(), "id", "left_semi"))))
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
+    poor = False
     for i in range(ROUNDS + 1):
         # keys under which labels differ, and how many pairs of documents that leaves
         by_label = shared.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -228,37 +262,39 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
         drop_cut(shared)
         drop_cut(split)
         shared = kept
-        last = i == ROUNDS or left["across"] <= 2 * left["n"]
-        if last:
+        if i == ROUNDS or poor or left["across"] <= 2 * left["n"]:
             pairs = unresolved_pairs(shared, known)
-        else:
-            # each key has a leader, by an order of documents that is another one each round; a document is compared with the leaders
-            # of other labels that it shares most keys with, as these are most likely near
-            turn = F.xxhash64("id", F.lit(i))
-            leaders = shared.groupBy("key").agg(F.min_by(F.struct("id", "label"), turn).alias("l"), F.count(F.lit(1)).alias("n"))
-            leaders = cut(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.label").alias("leader_label"), "n"), 8)
-            met = lookup_unique(shared, leaders, "key", "n").where("label <> leader_label")
-            met = met.groupBy("id", "label", "leader", "leader_label").agg(F.count(F.lit(1)).alias("keys"))
-            choice = F.struct(-F.col("keys"), F.xxhash64("leader", F.lit(i)), F.col("leader").alias("leader"), F.col("leader_label").alias("leader_label"))
-            # a document has no more leaders than keys
-            best = met.groupBy("id", "label").agg(F.slice(F.sort_array(F.collect_list(choice)), 1, LEADERS).alias("c"))
-            best = best.select("id", "label", F.explode("c").alias("c")).select("id", "label", "c.leader", "c.leader_label")
-            first = F.col("id") < F.col("leader")
-            ends = [("a", "id", "leader"), ("b", "leader", "id"), ("la", "label", "leader_label"), ("lb", "leader_label", "label")]
-            pairs = best.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends]).distinct()
+            if tested:
+                pairs = untested(pairs, reduce(DataFrame.unionByName, tested))
+            links += settled(cut(pairs, 8), known)
+            break
+        # each key has a leader, by an order of documents that is another one each round; a document is compared with the leaders
+        # of other labels that it shares most keys with, as these are most likely near, if their sizes allow it
+        turn = F.xxhash64("id", F.lit(i))
+        leaders = shared.groupBy("key").agg(F.min_by(F.struct("id", "label", "size"), turn).alias("l"), F.count(F.lit(1)).alias("n"))
+        leaders = cut(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.label").alias("leader_label"), F.col("l.size").alias("leader_size"), "n"), 8)
+        near = F.least("size", "leader_size") * 100 >= F.greatest("size", "leader_size") * PER_CENT
+        met = lookup_unique(shared, leaders, "key", "n").where((F.col("label") != F.col("leader_label")) & near)
+        met = met.groupBy("id", "label", "leader", "leader_label").agg(F.count(F.lit(1)).alias("keys"))
+        choice = F.struct(-F.col("keys"), F.xxhash64("leader", F.lit(i)), F.col("leader").alias("leader"), F.col("leader_label").alias("leader_label"), F.col("keys").alias("keys"))
+        # a document has no more leaders than keys
+        best = met.groupBy("id", "label").agg(F.slice(F.sort_array(F.collect_list(choice)), 1, LEADERS).alias("c"))
+        best = best.select("id", "label", F.explode("c").alias("c")).select("id", "label", "c.leader", "c.leader_label", "c.keys")
+        first = F.col("id") < F.col("leader")
+        ends = [("a", "id", "leader"), ("b", "leader", "id"), ("la", "label", "leader_label"), ("lb", "leader_label", "label")]
+        pairs = best.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends], F.col("keys").alias("shared"))
         if tested:
             pairs = untested(pairs, reduce(DataFrame.unionByName, tested))
-        pairs = cut(pairs, 8)
+        pairs = cut(likeliest(pairs), 8)
         tested.append(pairs.select("a", "b"))
         links.append(cut(confirmed(pairs, known), 8))
-        if last:
-            break
+        poor = links[-1].count() * YIELD < pairs.count()
         # labels meet at the least one linked with them, and at the one that this meets
         both = links[-1].select(F.col("la").alias("label"), F.col("lb").alias("to")).union(links[-1].select(F.col("lb").alias("label"), F.col("la").alias("to")))
         hop = cut(both.groupBy("label").agg(F.min("to").alias("to")).where("to < label"), 8)
         jump = hop.select(F.col("label").alias("to"), F.col("to").alias("further"))
         hop = cut(hop.join(jump, "to", "left").select("label", F.coalesce("further", "to").alias("to")), 8)
-        moved = cut(shared.join(hop, "label", "left").select("key", "id", F.coalesce("to", "label").alias("label")), 8)
+        moved = cut(shared.join(hop, "label", "left").select("key", "id", "size", F.coalesce("to", "label").alias("label")), 8)
         drop_cut(shared)
         shared = moved
     drop_cut(shared)
