@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from tessera.llm.common import batches, cut, lookup_unique
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stretches of text that a worker remembers, twice at most, and the longest of these in characters.
-REMEMBERED, LONGEST = 120_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 #: Characters of a block of documents; a longer text is a block of its own.
 BLOCK = 4_000_000
 
@@ -51,10 +52,10 @@ def groups(marks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Aligner:
-    """Aligns stretches of text that begin with a space.
+    """Aligns stretches of text that begin with a space, or with a line feed where the pieces have none.
 
-    Neither side's tokens pass over a space that stands alone between other characters, and the token after it begins with it, so
-    what lies between such spaces can be encoded and aligned by itself.
+    Neither side's tokens pass over a space or line feed that stands alone between other characters, and the token after it begins with
+    it, so what lies between such can be encoded and aligned by itself.
     """
 
     def __init__(self, a_path: str, b_path: str) -> None:
@@ -71,14 +72,17 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
+        # a line feed is a byte by itself for the pieces, behind a space of their own
+        self.lines = not any("\n" in p for p in pieces) and self.b_bytes[self.b.encode("\n")[0]] == b" "
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
-    @staticmethod
-    def stretches(text: str) -> list[str]:
+    def stretches(self, text: str) -> list[str]:
         """The parts of a text, with a space before it."""
-        first, *rest = _LONE_SPACE.split(text) if text[:1].isspace() or _ODD_SPACE.search(text) else text.split(" ")
-        return [" " + first, *[" " + p for p in rest]]
+        if text[:1].isspace() or _ODD_SPACE.search(text):
+            return [" " + p for p in _LONE_SPACE.split(text)]
+        parts = text.replace("\n", " \n").split(" ") if self.lines else text.split(" ")
+        return [p if p[:1] == "\n" and self.lines else " " + p for p in parts]
 
     def learn(self, new: list[str]) -> dict[str, tuple | None]:
         """Of each stretch n_a, n_b, n_groups, the groups as text and the links as bytes of pairs (a << 32 | b); None where the bytes differ.
@@ -89,7 +93,8 @@ class Aligner:
         new = [s for s in new if "▁" not in s]
         if not new:
             return found
-        a, b = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode([s[1:] for s in new], num_threads=1)
+        a, b = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode([s.removeprefix(" ") for s in new], num_threads=1)
+        b = [y if s[0] == " " else y[1:] for s, y in zip(new, b, strict=True)]  # the pieces' own space goes where there is none
         n, m = np.fromiter(map(len, a), np.int64), np.fromiter(map(len, b), np.int64)
         x, y = np.fromiter(chain.from_iterable(a), np.int64, n.sum()), np.fromiter(chain.from_iterable(b), np.int64, m.sum())
         a, b = x.tolist(), y.tolist()
@@ -117,52 +122,53 @@ class Aligner:
             g, k = h, e
         return found
 
-    def align(self, texts: list[str]) -> tuple[dict[str, tuple | None], list[list[str]]]:
-        """What is known of the stretches of the texts, and these stretches."""
-        cut = [self.stretches(t) if t else [] for t in texts]
-        found: dict[str, tuple | None] = {}
+    def align(self, stretches: Iterable[str]) -> list[tuple | None]:
+        """What learn() says of each of the stretches, which are distinct."""
+        stretches = list(stretches)
+        found = {}
         new = []
-        for s in set().union(*cut):
+        for s in stretches:
             if s in self.known:
-                found[s] = self.known[s]
-            elif s in self.older:
-                found[s] = self.known[s] = self.older[s]
+                continue
+            if s in self.older:
+                found[s] = self.older[s]
             else:
                 new.append(s)
         for i in range(0, len(new), 5000):
             found |= self.learn(new[i : i + 5000])
+        out = [found[s] if s in found else self.known[s] for s in stretches]
         # what was not met since the memory was last full is forgotten when it is full again
-        for s in new:
+        for s, x in found.items():
             if len(s) <= LONGEST:
                 if len(self.known) >= REMEMBERED:
                     self.known, self.older = {}, self.known
-                self.known[s] = found[s]
-        return found, cut
+                self.known[s] = x
+        return out
 
 
 def _block(texts: list[str], aligner: Aligner) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """Rows (n_a, n_b, n_groups, n_links, groups, pair, times) of documents, the block's pairs in order, and in how many documents each is."""
-    found, cut = aligner.align(texts)
-    held = [s for s, x in found.items() if x]
-    number = {s: i for i, s in enumerate(held)}
-    said = [found[s][3] for s in held]
-    figures = np.array([found[s][:3] for s in held], np.int64).reshape(-1, 3)
-    size = np.fromiter((len(found[s][4]) // 8 for s in held), np.int64, len(held))
-    pairs, code = np.unique(np.frombuffer(b"".join([found[s][4] for s in held]), np.int64), return_inverse=True)
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    cut = [np.fromiter(map(number.__getitem__, aligner.stretches(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    found = aligner.align(number)
+    spelled = np.fromiter((x is not None for x in found), bool, len(found))
+    n_a, n_b, n_groups, said, links = zip(*[x or (0, 0, 0, "", b"") for x in found], strict=True) if found else [()] * 5
+    figures = np.array([n_a, n_b, n_groups], np.int64)
+    size = np.fromiter(map(len, links), np.int64, len(links)) // 8
+    pairs, code = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
     start = np.cumsum(size) - size
     rows, docs = [], np.zeros(len(pairs), np.int64)
-    for parts in cut:
-        at = [number.get(s, -1) for s in parts]
-        if not at or min(at) < 0:
+    for at in cut:
+        if not len(at) or not spelled[at].all():
             rows.append((0, 0, 0, 0, "", b"", b""))
             continue
-        text = ";".join([said[k] for k in at])
-        at = np.array(at)
         n = size[at]
-        where = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        total = int(n.sum())
+        where = np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(total)
         pair, times = np.unique(code[where], return_counts=True)
         docs[pair] += 1
-        rows.append((*figures[at].sum(axis=0).tolist(), int(n.sum()), text, pair.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()))
+        text = ";".join(map(said.__getitem__, at.tolist()))
+        rows.append((*figures[:, at].sum(axis=1).tolist(), total, text, pair.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()))
     used = docs > 0  # a stretch of a text that is left out may have brought in others
     to = np.cumsum(used) - 1
     rows = [(*r[:5], to[np.frombuffer(r[5], np.uint32)].astype(np.uint32).tobytes(), r[6]) for r in rows]
