@@ -30,7 +30,7 @@ WORD_CELLS, CELLS, CHUNK = 1 << 20, 1 << 24, 1 << 16
 #: Occurrences of a pivot in one part, by its cell.
 PART = 1 << 15
 #: Words that a task counts before it passes their counts on, and characters that it reads at once.
-COUNTED, AT_ONCE = 60_000, 400_000
+COUNTED, AT_ONCE = 400_000, 400_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BREAKS + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(_BREAKS) + b" ")
