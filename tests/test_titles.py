@@ -33,6 +33,15 @@ def test_lines_that_are_no_posts(spark):
     assert _one(spark, T.post_line, lines) == [None] * 7 + ["Site Engineer"]
 
 
+def test_frames_and_capitals(spark):
+    said = ["Notice for recruitment", "For the vacancies of: Surveyor (Roads)", "Press Release - notification regarding the post of Clerk", "Notice board keeper", "Engineer on notice", "To the Director", "the post of Clerk"]
+    said += ["Clerk through direct recruitment", "Clerk grade II through walk-in, on contract basis.", "Clerk under Mode", "Works: Planner -"]
+    want = ["Notice for recruitment", "Surveyor (Roads)", "Clerk", "Notice board keeper", "Engineer on notice", "To the Director", "the post of Clerk"]
+    want += ["Clerk through direct recruitment", "Clerk grade II through walk-in", "Clerk under Mode", "Works: Planner"]
+    assert _one(spark, T.cleaned_title, said) == want
+    assert _one(spark, T.post_line, ["SITE ENGINEER", "* QA/QC Engineer (Rs. 30,000 per month)", "CAD", "2) Geotechnical expert", "Location: engineer"]) == ["Site Engineer", "QA/QC Engineer", "CAD", "Geotechnical expert", None]
+
+
 def test_absolute(spark):
     rows = [("https://a.b/c/d?e=/f", u) for u in ("x", "/x", "//y/z", "http://q", "#a", "", "tel:5", None)] + [("https://a.b", "x")]
     df = spark.createDataFrame(rows, "base string, u string")
