@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import alerts, horizons, limits
+from tessera.operators import alerts, duplicates, horizons, limits
 from tessera.plans.registry import Tables, query
 from tessera.streaming import apart
 
@@ -60,3 +60,22 @@ def o05(t: Tables) -> DataFrame:
     seen = newest.select("run", F.max("newest").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)).alias("seen"))
     sides = lines.join(seen, "run").withColumn("side", apart.side(F.col("at"), now, F.col("seen"), "300 days", ahead, oldest))
     return sides.groupBy("run", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j09_fuzzy_best", r"""
+WITH w AS (SELECT p_partkey AS id, p_brand || '-' || p_size AS email, regexp_replace(CAST(CAST(floor(p_retailprice) AS BIGINT) // 3 AS VARCHAR), '\D', '', 'g') AS phone, p_type || p_size AS url, lower(p_brand) AS company, lower(p_type) AS city,
+    list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: length(x) > 2)) AS title,
+    list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size || ' xx' || p_partkey % 50), '[^\p{L}\p{N}]+'), lambda x: length(x) > 2)) AS description FROM part),
+s AS (SELECT a.id AS id, b.id AS other, least(100, CASE WHEN a.email = b.email THEN 35 ELSE 0 END + CASE WHEN a.phone = b.phone THEN 30 ELSE 0 END + CASE WHEN a.url = b.url THEN 35 ELSE 0 END + CASE WHEN a.company = b.company THEN 30 ELSE 0 END
+    + CASE WHEN len(list_intersect(a.title, b.title)) * 100 >= 70 * len(list_distinct(a.title || b.title)) THEN 20 ELSE 0 END + CASE WHEN a.city = b.city THEN 10 ELSE 0 END
+    + CASE WHEN len(list_intersect(a.description, b.description)) * 100 >= 50 * len(list_distinct(a.description || b.description)) THEN 20 ELSE 0 END) AS cents FROM w a JOIN w b ON a.id <> b.id)
+SELECT id AS p_partkey, other, cents / 100.0 AS score FROM s WHERE cents >= 50 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cents DESC, other) = 1""")
+def j09_fuzzy(t: Tables) -> DataFrame:
+    """The part that is most like each part by seven kinds of evidence, made of the part's columns."""
+    size = F.col("p_size").cast("string")
+    said = F.concat_ws(" ", "p_name", "p_type", "p_brand", size, F.concat(F.lit("xx"), (F.col("p_partkey") % 50).cast("string")))
+    fields = {
+        "email": F.concat_ws("-", "p_brand", size), "phone": F.floor(F.col("p_retailprice").cast("bigint") / 3), "url": F.concat("p_type", size),
+        "company": F.col("p_brand"), "title": F.col("p_name"), "city": F.col("p_type"), "description": said,
+    }
+    return duplicates.fuzzy_duplicates(t.part, "p_partkey", fields, 1).select("p_partkey", "other", "score")
