@@ -81,6 +81,20 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
 
 
+def packed(cells: np.ndarray) -> bytes:
+    """A chunk of counts, most of them small: a byte each, and those of 255 and more by place."""
+    large = np.flatnonzero(cells >= 255)
+    return zlib.compress(np.minimum(cells, 255).astype(np.uint8).tobytes() + large.astype(np.uint32).tobytes() + cells[large].tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    out = np.frombuffer(raw, np.uint8, CHUNK).astype(np.int64)
+    large, counts = np.frombuffer(raw, np.uint32, offset=CHUNK).reshape(2, -1)
+    out[large] = counts
+    return out
+
+
 def first_pass(docs: DataFrame) -> DataFrame:
     """chunk, cells: each task's part of the tables by hash, packed."""
 
@@ -96,7 +110,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
                 np.add.at(cells, WORD_CELLS + triples[w.joined[:-1] & w.joined[1:]], 1)
         for i in range(0, len(cells), CHUNK):
             if cells[i : i + CHUNK].any():
-                yield pd.DataFrame({"chunk": [i // CHUNK], "cells": [zlib.compress(cells[i : i + CHUNK].tobytes(), 1)]})
+                yield pd.DataFrame({"chunk": [i // CHUNK], "cells": [packed(cells[i : i + CHUNK])]})
 
     return _texts(docs).mapInPandas(run, "chunk int, cells binary")
 
@@ -113,7 +127,7 @@ def tables(chunks: DataFrame, at_least: int) -> tuple[np.ndarray, np.ndarray]:
                     if at is not None:
                         yield said()
                     at, total = chunk, np.zeros(CHUNK, np.int64)
-                total += np.frombuffer(zlib.decompress(raw), np.uint32)
+                total += unpacked(raw)
         if at is not None:
             yield said()
 

@@ -148,6 +148,12 @@ def test_phrases(docs, monkeypatch, at_least, part):
     assert at_least > 50 or {r[2].count(" ") for r in got} == {1, 2, 3, 4}
 
 
+def test_packed():
+    cells = np.zeros(collocations.CHUNK, np.uint32)
+    cells[[0, 5, 77, 1000, 65535]] = [1, 254, 255, 2**31, 2**32 - 1]
+    assert (collocations.unpacked(collocations.packed(cells)) == cells).all()
+
+
 def test_extents():
     rarity, pairs, triples = np.array([5, 3, 3, 9, 1, 7], np.uint64), np.ones(5, bool), np.ones(4, bool)
     left, right = collocations.extents(rarity, pairs, triples, 4)
