@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.fields import field
 from tessera.functions.text import clean_text, first
+from tessera.operators.tables import held
 
 
 def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -60,25 +61,23 @@ HOLDERS = ("@graph", "itemListElement", "item", "mainEntity", "hasPart")
 
 def _inner(v: Column) -> Column:
     """What a JSON value holds directly: a list's elements, and those of the holders."""
-    held = [F.coalesce(F.try_variant_get(v, f"$['{k}']", "array<variant>"), F.array(F.try_variant_get(v, f"$['{k}']", "variant"))) for k in HOLDERS]
+    inside = [F.coalesce(F.try_variant_get(v, f"$['{k}']", "array<variant>"), F.array(F.try_variant_get(v, f"$['{k}']", "variant"))) for k in HOLDERS]
     listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-    return F.filter(F.concat(listed, *held), lambda x: x.isNotNull())
+    return F.filter(F.concat(listed, *inside), lambda x: x.isNotNull())
 
 
-def structured(pages: DataFrame, key: str, html: str, kind: str, fields: dict[str, str], depth: int = 3) -> DataFrame:
-    """key and fields (paths by name, as strings) of every object of a type in a page's JSON-LD, `depth` holders deep.
+def structured(pages: DataFrame, key: str, html: str, kind: str, fields: dict[str, str]) -> DataFrame:
+    """key and fields (paths by name, as strings) of every object of a type in a page's JSON-LD, however many holders deep.
 
-    A script that is no JSON is read again without comments and commas before a bracket, and skipped if it still is none.
+    A script that is no JSON is read again without comments and commas before a bracket, and skipped if it still is none. Each level of
+    holders is a step of its own, until none holds anything.
     """
     scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"""), 1)
     mended = F.regexp_replace(F.regexp_replace("s", r"(?s)/\*.*?\*/", ""), r",\s*([}\]])", "$1")
     level = pages.select(key, F.explode(scripts).alias("s")).select(key, F.coalesce(F.try_parse_json("s"), F.try_parse_json(mended)).alias("v")).where("v IS NOT NULL")
-    held = F.array("v")
-    levels = [held]
-    for _ in range(depth):
-        held = F.flatten(F.transform(held, _inner))
-        levels.append(held)
-    found = level.select(key, F.explode(F.concat(*levels)).alias("v"))
+    found = level
+    while not (level := held(level.select(key, F.explode(_inner(F.col("v"))).alias("v")))).isEmpty():
+        found = found.unionByName(level)
     v = F.col("v")
     named = F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array(F.try_variant_get(v, "$['@type']", "string")))
     return found.where(F.array_contains(named, kind)).select(key, *[F.try_variant_get(v, path, "string").alias(name) for name, path in fields.items()])
