@@ -7,31 +7,24 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_text, day_of, first, first_label, slug
+from tessera.functions.amounts import salary  # noqa: F401
+from tessera.functions.text import clean_text, day_of, first, first_label, let, slug
 
-_SIGN, _NUMBER, _UNIT = r"(?:₹|\brs\.?|\binr|\$|\busd|€|\beur)", r"(\d[\d,.]*)", r"(k\b|lpa|lakhs?|lacs?|thousand)?"
-_RANGE = rf"(?i){_SIGN}?\s*{_NUMBER}\s*{_UNIT}\s*(?:-|–|to)\s*{_SIGN}?\s*{_NUMBER}\s*{_UNIT}"
-_SIGNED, _LAKHS = rf"(?i){_SIGN}\s*{_NUMBER}\s*{_UNIT}", rf"(?i){_NUMBER}\s*(lpa|lakhs?|lacs?)\b"
-_CURRENCIES = [("INR", r"(?i)₹|\brs\b|\binr\b|rupee"), ("USD", r"(?i)\$|\busd\b"), ("EUR", r"(?i)€|\beur"), ("AED", r"(?i)\baed\b|\bdhs\b")]
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"[\n|]")
 
 
-def salary(text: Column) -> Column:
-    """least, most, currency, period of the labelled line, of the whole text where none is labelled.
+def labelled(text: Column, labels: tuple[str, ...]) -> Column:
+    """What stands behind a colon or dash after one of the labels, in the first line or column where something does."""
+    split = lambda line: F.split(line, r"\s*[:–-]\s*", 2)
+    ends = lambda line: F.exists(F.array(*map(F.lit, labels)), lambda w: F.endswith(F.lower(F.get(split(line), F.lit(0))), w))
+    values = F.transform(F.filter(lines_of(text), ends), lambda line: F.btrim(F.get(split(line), F.lit(1))))
+    return F.get(F.filter(values, lambda v: F.char_length(v) > 1), F.lit(0))
 
-    One unit holds for both ends of a range; lakhs mean rupees a year where nothing else is said. `rs` counts as a word only.
-    """
-    source = F.coalesce(first(text, r"(?i)[^\n]*\b(?:salary|ctc|pay|stipend|package)\b[^\n]*"), text)
-    number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
-    ranged = F.regexp_like(source, F.lit(_RANGE))
-    one = lambda g: F.coalesce(first(source, _SIGNED, g), first(source, _LAKHS, g))
-    unit = F.lower(F.when(ranged, F.coalesce(first(source, _RANGE, 2), first(source, _RANGE, 4))).otherwise(one(2)))
-    factor = F.when(unit.contains("l"), 100_000.0).when(unit.isin("k", "thousand"), 1000.0).otherwise(1.0)
-    least = F.when(ranged, number(first(source, _RANGE, 1))).otherwise(number(one(1))) * factor
-    most = F.when(ranged, number(first(source, _RANGE, 3)) * factor)
-    known = least.isNotNull() | most.isNotNull()
-    currency = F.coalesce(first_label(_CURRENCIES, source), F.when(unit.contains("l"), "INR"))
-    period = F.when((unit == "lpa") | source.rlike(r"(?i)\b(?:per\s*)?(?:annum|year)\b"), "year").when(source.rlike(r"(?i)per\s*month"), "month").when(unit.contains("l"), "year")
-    return F.struct(least.alias("least"), most.alias("most"), F.when(known, currency).alias("currency"), F.when(known, period).alias("period"))
+
+def spaced(text: Column) -> Column:
+    """The words of a text in lower case between single spaces, with a space before and after."""
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def location(text: Column, places: dict[str, str]) -> Column:
@@ -39,15 +32,19 @@ def location(text: Column, places: dict[str, str]) -> Column:
 
     The state is one that the label names, else the city's, else the first that the text names. Both as written in `places`.
     """
-    label = F.coalesce(first(text, r"(?i)location\s*[:–-]\s*([^\n|]{2,80})", 1), first(text, r"(?i)based\s+(?:at|in)\s*[:-]?\s*([^\n|]{2,80})", 1))
-    hay = F.lower(F.concat_ws(" ", label, text))
-    head = F.lower(F.btrim(first(label, r"^([^,–-]*)", 1)))
-    named = lambda word: hay.rlike(f"(^|[^a-z]){word.lower()}([^a-z]|$)")
-    states = list(dict.fromkeys(places.values()))
-    city = F.coalesce(*[F.when(head == c.lower(), F.lit(c)) for c in places], *[F.when(named(c), F.lit(c)) for c in places])
-    own = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
-    said = F.coalesce(*[F.when(F.lower(label).contains(s.lower()), F.lit(s)) for s in states])
-    return F.struct(city.alias("city"), F.coalesce(said, F.get(F.map_values(F.map_filter(own, lambda k, _: k == city)), F.lit(0)), *[F.when(named(s), F.lit(s)) for s in states]).alias("state"))
+    based = F.get(F.filter(F.transform(lines_of(text), lambda line: F.get(F.split(line, r"(?i)\bbased (?:at|in)\b\W*", 2), F.lit(1))), lambda x: F.char_length(x) > 1), F.lit(0))
+    cities, states = list(places), list(dict.fromkeys(places.values()))
+
+    def read(label: Column) -> Column:
+        said, everywhere = spaced(label), spaced(F.concat_ws(" ", label, text))
+        named = lambda words, name: F.contains(words, F.lit(f" {name.lower()} "))
+        begins = [F.when(F.startswith(said, F.lit(f" {c.lower()} ")) & F.lower(F.btrim(F.get(F.split(label, "[,–-]"), F.lit(0)))).eqNullSafe(c.lower()), c) for c in cities]
+        city = F.coalesce(*begins, *[F.when(named(everywhere, c), c) for c in cities])
+        own = [F.when(city == c, s) for c, s in places.items()]
+        state = F.coalesce(*[F.when(named(said, s), s) for s in states], *own, *[F.when(named(everywhere, s), s) for s in states])
+        return F.struct(city.alias("city"), state.alias("state"))
+
+    return let(F.coalesce(labelled(text, ("location",)), based), read)
 
 
 #: Endings of companies' names, certain ones and those that titles have too.
@@ -56,30 +53,60 @@ TRADES = ("infrastructure", "infra", "constructions", "construction", "builders"
 
 
 def company(text: Column, title: Column) -> Column:
-    """The labelled name, else words that end with a legal form, else with a trade, else what follows `at` in the title.
+    """The labelled name, else capitalised words up to a legal form, else up to a trade, else what follows `at` in the title.
 
-    Null where that is the title itself, or one word that ends with neither.
+    Null where that is the title itself, or one word that is neither form nor trade.
     """
-    ending = lambda words: "|".join(w.replace(".", r"\.").replace(" ", r"\s*") for w in words)
-    words = r"([A-Z0-9][\w&.'() -]{2,60}?\b(?i:" + "%s" + r"))(?![\w])"
-    found = F.coalesce(
-        first(text, r"(?i)(?:company|organi[sz]ation|employer)\s*[:–-]\s*([^\n]{2,90})", 1),
-        first(text, words % ending(LEGAL_FORMS), 1),
-        first(text, words % ending(TRADES), 1),
-        first(title, r"(?i)(?:\bat\b|@)\s*([\w&.'() -]{3,60})$", 1),
-    )
-    name = F.btrim(F.regexp_replace(found, r"[^\w).&'\s-]+$", ""))
-    lone = ~name.contains(" ") & ~name.rlike(f"(?i)(?:{ending(LEGAL_FORMS + TRADES)})$")
-    return F.when(~(F.lower(name).eqNullSafe(F.lower(title)) | lone), name)
+    bare = lambda w: F.regexp_replace(F.lower(w), "[^\\p{L}]", "")
+    ending = lambda forms: [f.replace(".", "").replace(" ", "").lower() for f in forms]
+    # runs of words of names: each begins with a capital, a figure or &
+    runs = F.flatten(F.transform(lines_of(text), lambda line: F.regexp_extract_all(line, F.lit(r"(?:(?<![\p{L}\p{N}])[\p{Lu}\p{N}&][\p{L}\p{N}&.'()]*[ -]*)+"), F.lit(0))))
+
+    def upto(run: Column, forms: list[str]) -> Column:
+        words = F.split(F.btrim(run), r"\s+")
+        last = lambda i: bare(F.get(words, i)).isin(forms) | F.concat(bare(F.get(words, i - 1)), bare(F.get(words, i))).isin(forms)
+        ends = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i > 0) & F.coalesce(last(i), F.lit(False)))
+        # `Pvt Ltd` is one form: the end goes on while the next word is one too
+        end = F.get(F.filter(ends, lambda i: ~F.array_contains(ends, i + 1)), F.lit(0))
+        return F.when(end.isNotNull(), F.array_join(F.slice(words, 1, end + 1), " "))
+
+    formed = lambda forms: F.get(F.filter(F.transform(runs, lambda r: upto(r, ending(forms))), lambda x: x.isNotNull()), F.lit(0))
+    hosted = F.nullif(F.btrim(F.get(F.split(title, r"(?i)\s+at\s+|@"), F.lit(1))), F.lit(""))
+    found = F.coalesce(labelled(text, ("company", "organisation", "organization", "employer")), formed(LEGAL_FORMS), formed(TRADES), F.when(F.char_length(hosted) > 2, hosted))
+
+    def kept(name: Column) -> Column:
+        lone = ~name.contains(" ") & ~bare(name).isin(ending(LEGAL_FORMS + TRADES))
+        return F.when(~(F.lower(name).eqNullSafe(F.lower(title)) | lone), name)
+
+    return let(F.btrim(found, F.lit(" ,;:-–")), kept)
+
+
+# Degrees by their letters, and branches.
+DEGREES = {"be": "B.E", "btech": "B.Tech", "barch": "B.Arch", "bsc": None, "diploma": "Diploma", "mtech": "M.Tech", "me": "M.E", "amie": None, "iti": "ITI"}
+BRANCHES = ("Civil", "Structural", "Construction")
 
 
 def degree(text: Column) -> Column:
-    """degree and branch of the first qualification that the text names."""
-    said = first(text, r"(?i)\b(?:B\.?\s?E\b|B\.?\s?Tech|B\.?\s?Sc|B\.?\s?Arch|Diploma|M\.?\s?Tech|M\.?\s?E\b|AMIE|ITI)[^\n]{0,60}")
-    names = [("B.Arch", r"(?i)\bb\.?\s?arch"), ("B.Tech", r"(?i)\bb\.?\s?tech"), ("B.E", r"(?i)\bb\.?\s?e\b"), ("Diploma", "(?i)diploma"), ("M.Tech", r"(?i)\bm\.?\s?tech"), ("M.E", r"(?i)\bm\.?\s?e\b"), ("ITI", r"(?i)\biti\b"), ("B.Sc", r"(?i)\bb\.?\s?sc")]
-    branches = [("Civil", "(?i)civil"), ("Structural", "(?i)structural"), ("Construction", "(?i)construction")]
-    alone = F.when(said.isNull() & text.rlike(r"(?i)\b(?:civil|construction|structural)\s+engineering\b"), "Civil")
-    return F.struct(first_label(names, said).alias("degree"), F.coalesce(first_label(branches, said), alone).alias("branch"))
+    """degree and branch of the first qualification that the text names, the branch in its line; civil where the text names a kind of engineering only.
+
+    A degree of two letters has capitals or dots, so that `be` and `me` are none.
+    """
+    marked = lambda w: (F.char_length(w) > 5) | w.rlike(r"\.|^[\p{Lu}\s]+$|\p{Lu}\p{Ll}{2}")
+    letters = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]", "")
+
+    def of_line(line: Column) -> Column:
+        words = F.regexp_extract_all(line, F.lit(r"[\p{L}.]+"), F.lit(0))
+        pairs = F.transform(words, lambda w, i: F.struct(i.alias("i"), F.array(w, F.concat_ws(" ", w, F.get(words, i + 1))).alias("forms")))
+        known = lambda w: letters(w).isin(list(DEGREES)) & marked(w)
+        hit = F.get(F.filter(F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), F.get(F.filter(p["forms"], known), F.lit(0)).alias("w"))), lambda p: p["w"].isNotNull()), F.lit(0))
+        after = F.transform(F.slice(words, hit["i"] + 1, 12), letters)
+        branch = F.coalesce(*[F.when(F.array_contains(after, b.lower()), b) for b in BRANCHES])
+        name = F.coalesce(*[F.when(letters(hit["w"]) == k, v) for k, v in DEGREES.items() if v])
+        return F.when(hit.isNotNull(), F.struct(name.alias("degree"), branch.alias("branch")))
+
+    found = F.get(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), of_line), lambda x: x.isNotNull()), F.lit(0))
+    alone = F.coalesce(*[F.when(F.contains(spaced(text), F.lit(f" {b.lower()} engineering ")), "Civil") for b in BRANCHES])
+    return let(found, lambda x: F.struct(x["degree"].alias("degree"), F.coalesce(x["branch"], F.when(x.isNull(), alone)).alias("branch")))
 
 
 def deadline(text: Column) -> Column:

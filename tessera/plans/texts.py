@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.amounts import years
 from tessera.plans.registry import Tables, query
 from tessera.sources import markup
 
@@ -121,7 +122,7 @@ def e03(t: Tables) -> DataFrame:
     n = F.col("p_size").cast("string")
     kind = F.col("p_partkey") % 4
     line = F.when(kind == 0, F.concat(n, F.lit(" - 7 years"))).when(kind == 1, F.concat(F.lit("Minimum "), n, F.lit(" yrs"))).when(kind == 2, "Freshers welcome").otherwise("Experience welcome")
-    return t.part.select("p_partkey", X.years(line).alias("y")).select("p_partkey", "y.least", "y.most")
+    return t.part.select("p_partkey", years(line).alias("y")).select("p_partkey", "y.least", "y.most")
 
 
 @query("e05_contacts", r"SELECT doc_id, lower(nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), '')) AS email, nullif(regexp_extract(text, 'https?://[^\s)>\]]+'), '') AS link FROM documents")
