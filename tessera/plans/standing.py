@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import alerts, duplicates, horizons, limits
+from tessera.operators import alerts, duplicates, horizons, limits, related
 from tessera.plans.registry import Tables, query
 from tessera.streaming import apart
 
@@ -79,3 +79,17 @@ def j09_fuzzy(t: Tables) -> DataFrame:
         "company": F.col("p_brand"), "title": F.col("p_name"), "city": F.col("p_type"), "description": said,
     }
     return duplicates.fuzzy_duplicates(t.part, "p_partkey", fields, 1).select("p_partkey", "other", "score")
+
+
+@query("r05_related_all", r"""
+WITH l AS (SELECT p_partkey AS id, lower(p_name) AS title, [lower(p_type), split_part(lower(p_name), ' ', 2), 'brand ' || split_part(p_brand, '#', 2)] AS skills, lower(p_name || ' ' || p_type || ' brand ' || split_part(p_brand, '#', 2)) AS said,
+    'city' || p_size % 20 AS place, p_brand AS sector, p_partkey % 3 = 0 AS featured FROM part),
+s AS (SELECT a.id, b.id AS other, CASE WHEN len(list_filter(string_split(a.title, ' '), lambda w: length(w) > 3 AND contains(b.title, w))) > 0 THEN 35 ELSE 0 END + least(30, 10 * len(list_filter(list_distinct(a.skills), lambda k: k <> '' AND contains(b.said, k))))
+    + CASE WHEN contains(b.place, a.place) THEN 20 ELSE 0 END + CASE WHEN a.sector = b.sector THEN 8 ELSE 0 END + CASE WHEN b.featured THEN 2 ELSE 0 END AS score FROM l a JOIN l b ON a.id <> b.id)
+SELECT id AS p_partkey, other, CAST(score AS INTEGER) AS score FROM s WHERE score >= 25 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 4""")
+def r05_all(t: Tables) -> DataFrame:
+    """Four related parts for each part: words of its name, its kind and brand as skills, a size group as place."""
+    brand = F.concat(F.lit("brand "), F.get(F.split("p_brand", "#"), F.lit(1)))
+    skills = F.array(F.col("p_type"), F.get(F.split("p_name", " "), F.lit(1)), brand)
+    place = F.concat(F.lit("city"), (F.col("p_size") % 20).cast("string"))
+    return related.related(t.part, "p_partkey", F.col("p_name"), skills, F.concat_ws(" ", "p_name", "p_type", brand), place, F.col("p_brand"), F.col("p_partkey") % 3 == 0)
