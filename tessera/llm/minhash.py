@@ -148,12 +148,12 @@ def candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 _PAIR = "a long, b long, la long, lb long"
 
 
-def likeliest(pairs: DataFrame, most: int = 1) -> DataFrame:
-    """Of the pairs (a, b, la, lb, shared) `most` for any two labels: those which share most. la is the smaller label."""
+def ranked(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, la, lb, shared) with la the smaller label, and their place among those of the same labels: those which share most come first."""
     least, greatest = F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")
     named = pairs.select("a", "b", least, greatest, "shared").dropDuplicates(["a", "b"])
     place = F.row_number().over(Window.partitionBy("la", "lb").orderBy(F.desc("shared"), F.xxhash64("a", "b"), "a", "b"))
-    return named.withColumn("place", place).where(F.col("place") <= most).drop("place", "shared")
+    return named.withColumn("place", place).drop("shared")
 
 
 def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
@@ -219,23 +219,24 @@ def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def settled(pairs: DataFrame, known: DataFrame) -> list[DataFrame]:
     """Links (a, b, la, lb) among pairs (a, b, la, lb, shared), enough of them to connect all labels that any pair links.
 
-    Of two labels one pair is checked, then four more, and so on until they are connected or no pair is left: labels that many pairs
-    link are connected after a few checks.
+    Of two labels four pairs are checked, then twelve more, and so on until they are connected or no pair is left: labels that many
+    pairs link are connected after a few checks.
     """
-    links, most = [], 1
-    while True:
-        best = cut(likeliest(pairs, most), 8)
-        rest = cut(untested(pairs, best), 8)
-        links.append(cut(confirmed(best, known), 8))
-        if not rest.limit(1).count():
-            return links
-        # labels that are connected by now need no more checks
-        to = components(links[-1].select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    placed = cut(ranked(pairs), 8)
+    apart = cut(placed.groupBy("la", "lb").agg(F.max("place").alias("n")), 8)
+    links: list[DataFrame] = []
+    low, high = 0, 4
+    while apart.limit(1).count():
+        tests = placed.where((F.col("place") > low) & (F.col("place") <= high)).join(apart, ["la", "lb"], "left_semi")
+        links.append(cut(confirmed(cut(tests.drop("place"), 8), known), 8))
+        # labels that are connected by now need no more checks, nor those of which all pairs are checked
+        to = components(reduce(DataFrame.unionByName, links).select(F.col("la").alias("a"), F.col("lb").alias("b")))
         at = lambda c, to=to: to.select(F.col("id").alias(c), F.col("label").alias(f"{c}_to"))
-        moved = rest.join(at("la"), "la", "left").join(at("lb"), "lb", "left")
-        pairs = cut(moved.select("a", "b", F.coalesce("la_to", "la").alias("la"), F.coalesce("lb_to", "lb").alias("lb"), "shared").where("la <> lb"), 8)
-        drop_cut(rest)
-        most *= 4
+        more = apart.where(F.col("n") > high).join(at("la"), "la", "left").join(at("lb"), "lb", "left")
+        apart = cut(more.where(F.coalesce("la_to", "la") != F.coalesce("lb_to", "lb")).select("la", "lb", "n"), 8)
+        low, high = high, 4 * high
+    drop_cut(placed)
+    return links
 
 
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -285,7 +286,7 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = best.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends], F.col("keys").alias("shared"))
         if tested:
             pairs = untested(pairs, reduce(DataFrame.unionByName, tested))
-        pairs = cut(likeliest(pairs), 8)
+        pairs = cut(ranked(pairs).where("place = 1").drop("place"), 8)
         tested.append(pairs.select("a", "b"))
         links.append(cut(confirmed(pairs, known), 8))
         poor = links[-1].count() * YIELD < pairs.count()
