@@ -76,3 +76,14 @@ def test_minimal_sets():
     found = D.minimal_sets(D.WEIGHTS, D.NEED)
     assert ("title", "city", "description") in found and ("email", "city") not in found and ("company", "title") in found
     assert all(sum(D.WEIGHTS[x] for x in c) >= D.NEED for c in found)
+
+
+def test_equal_fields_need_no_pairs(spark, monkeypatch):
+    """Postings with equal fields and texts of their own: not every one meets every other, and the best ones are those of all pairs."""
+    met, meetings = [], D._meetings
+    monkeypatch.setattr(D, "_meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    rows = [(i, "a@x.org", str(i % 2), "u1", "Acme", f"planner of works {i % 3}", "Pune", f"site road bridge number{i}") for i in range(150)]
+    frame = spark.createDataFrame(rows, "id long, " + ", ".join(f"{f} string" for f in FIELDS))
+    found = D.fuzzy_duplicates(frame, "id", {f: F.col(f) for f in FIELDS}, 1).select("id", "other", "score").collect()
+    assert sorted(tuple(r) for r in found) == _brute(rows, 1)
+    assert met[0].count() < 10 * len(rows)
