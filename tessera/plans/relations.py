@@ -65,8 +65,8 @@ SELECT a.p_partkey AS alert, p.p_partkey AS part FROM part a
 JOIN part p ON a.p_brand = p.p_brand AND a.p_type = p.p_type AND p.p_size >= a.p_size AND contains(p.p_name, split_part(a.p_name, ' ', 1))""")
 def j08(t: Tables) -> DataFrame:
     alerts = t.part.select(F.col("p_partkey").alias("alert"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("least"), F.split("p_name", " ")[0].alias("word"))
-    also = (F.col("p_size") >= F.col("least")) & F.col("p_name").contains(F.col("word"))
-    return J.matching(alerts, t.part, [("brand", "p_brand"), ("kind", "p_type")], also).select("alert", F.col("p_partkey").alias("part"))
+    parts = t.part.select("p_partkey", "p_brand", "p_type", "p_name", "p_size")
+    return J.matching(alerts, parts, [("brand", "p_brand"), ("kind", "p_type")], "word", "p_name", F.col("p_size") >= F.col("least")).select("alert", F.col("p_partkey").alias("part"))
 
 
 @query("j09_blocked_best_match", """
@@ -78,12 +78,7 @@ s AS (SELECT a, b, CASE WHEN c.p_name = e.p_name THEN 30 ELSE 0 END + CASE WHEN
 SELECT a, b, CAST(score AS INTEGER) AS score FROM s WHERE score >= 50 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1""")
 def j09(t: Tables) -> DataFrame:
     p = t.part.withColumns({"k1": F.concat("p_name", "p_brand"), "k2": F.concat(F.col("p_size").cast("string"), "p_brand")})
-    c = p.select(F.col("p_partkey").alias("a"), *[F.col(x).alias(f"a_{x}") for x in ("k1", "k2", "p_name", "p_brand", "p_type", "p_size")])
-    e = p.select(F.col("p_partkey").alias("b"), *[F.col(x).alias(f"b_{x}") for x in ("k1", "k2", "p_name", "p_brand", "p_type", "p_size")])
-    pairs = J.blocked_pairs(c, e, "a", "b", [(F.col("a_k1"), F.col("b_k1")), (F.col("a_k2"), F.col("b_k2"))]).where("a <> b")
-    score = reduce(lambda x, y: x + y, [F.when(F.col(f"a_{x}") == F.col(f"b_{x}"), n).otherwise(0) for x, n in (("p_name", 30), ("p_brand", 20), ("p_type", 10), ("p_size", 35))])
-    scored = pairs.join(c, "a").join(e, "b").select("a", "b", score.alias("score")).where("score >= 50")
-    return O.keep_first(scored, ["a"], [F.col("score").desc(), F.col("b")])
+    return J.best_by_equal(p, "p_partkey", ["k1", "k2"], {"p_name": 30, "p_brand": 20, "p_type": 10, "p_size": 35}, 50)
 
 
 @query("j11_match_by_priority", """
