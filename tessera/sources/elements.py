@@ -19,6 +19,8 @@ ENDS = {"li": ("li",), "tr": ("tr",), "td": ("td", "th", "tr"), "th": ("td", "th
 HOLDERS = {"li": ("ul", "ol"), "tr": ("table",), "td": ("table",), "th": ("table",), "p": (), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 #: Elements whose text is given; a text within a text counts for both.
 WITH_TEXT = ("a", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "caption", "title", "dt", "dd", "option", "span", "b", "strong")
+#: Characters of pages, and rows, that are given on together.
+CHARACTERS, ROWS = 1_000_000, 5_000
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 _SCHEMA = "at int, until int, depth int, tag string, attributes map<string,string>, text string, row_at int, table_at int"
@@ -80,6 +82,24 @@ class _Reader(HTMLParser):
         return self.out
 
 
+def _listed(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The elements of frames of (key, html). Whole pages are given on together when they, or what was made of them, are some MB."""
+    rows: list[tuple] = []
+    made = lambda: pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("row_at", "table_at")})
+    for frame in frames:
+        size = 0
+        for k, said in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
+            if said is not None:
+                rows += [(k, *e) for e in _Reader().read(said)]
+                size += len(said)
+                if size >= CHARACTERS or len(rows) >= ROWS:
+                    yield made()
+                    rows, size = [], 0
+        if rows:
+            yield made()
+            rows = []
+
+
 def elements(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, at, until, depth, tag, attributes, text, row_at, table_at of every element; null pages have none, keys are unique.
 
@@ -87,14 +107,8 @@ def elements(pages: DataFrame, key: str, html: str) -> DataFrame:
     """
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, *[c.split()[0] for c in _SCHEMA.split(", ")]]
-        for frame in frames:
-            rows = [(k, *e) for k, said in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True) if said is not None for e in _Reader().read(said)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int64" for c in ("row_at", "table_at")})
-
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {types[key]}, {_SCHEMA}")
+    names = [key, *[c.split()[0] for c in _SCHEMA.split(", ")]]
+    return pages.select(key, html).mapInPandas(lambda frames: _listed(frames, names), f"`{key}` {types[key]}, {_SCHEMA}")
 
 
 def anchors(found: DataFrame, key: str) -> DataFrame:

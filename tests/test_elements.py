@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.sources import elements as E
@@ -68,3 +69,12 @@ def test_structured_at_any_depth(spark):
 def test_empty(spark):
     found = _found(spark, None)
     assert found.collect() == [] and E.table_rows(found, "id", {"a": "a"}).collect() == [] and E.anchors(found, "id").collect() == []
+
+
+def test_pages_are_read_in_parts():
+    """However many pages come at once, what is made of them is given on every few thousand rows."""
+    pages = pd.DataFrame({"id": range(4000), "html": ["<p>a<p>b<ul><li>c</ul>"] * 3999 + [None]})
+    names = ["id", *[c.split()[0] for c in E._SCHEMA.split(", ")]]
+    parts = list(E._listed(iter([pages, pages.head(2)]), names))
+    assert sum(map(len, parts)) == 4 * (3999 + 2) and max(map(len, parts)) < E.ROWS + 4
+    assert [len(p) for p in E._listed(iter([pages.tail(1)]), names)] == []
