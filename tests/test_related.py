@@ -48,3 +48,29 @@ def test_related(spark, monkeypatch, most, meet):
     plan = got._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert R.related(frame.where("false"), "id", c("title"), c("skills"), c("text"), c("place"), c("sector"), c("featured")).collect() == []
+
+
+def _most_rows(plan):
+    """The most rows that any step of a plan gave out."""
+    kind, below = plan.getClass().getSimpleName(), []
+    if kind == "AdaptiveSparkPlanExec":
+        below = [plan.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        below = [plan.plan()]
+    else:
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_no_pairs(spark):
+    """600 listings that differ and share a word of the title: none of the steps lists their 360 000 pairs."""
+    rows = [(i, f"Common surveyor{i}", [f"skill{i}"], f"skill{i}", f"Place{i}", None, False) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, title string, skills array<string>, text string, place string, sector string, featured boolean")
+    c = F.col
+    got = R.related(frame, "id", c("title"), c("skills"), c("text"), c("place"), c("sector"), c("featured"), 2)
+    found = {}
+    for a, b, _ in got.collect():
+        found.setdefault(a, []).append(b)
+    assert all(len(found[i]) == 2 for i in range(600))
+    assert _most_rows(got._jdf.queryExecution().executedPlan()) < 50 * len(rows)
