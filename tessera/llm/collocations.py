@@ -158,16 +158,16 @@ def extents(rarity: np.ndarray, pairs: np.ndarray, triples: np.ndarray, reach: i
 
 
 def fragments(docs: DataFrame, known: Broadcast, at_least: int, longest: int) -> DataFrame:
-    """lang, pivot, part, parts, place (of the pivot), fragment, n: the rewritten text, equal fragments of a batch once.
+    """lang, part (0: its pivot has no others), place (of the pivot), fragment, n: the rewritten text, equal fragments of a batch once.
 
-    Words that may be frequent are fragments by themselves, and the empty fragment has the number of all words of its lang.
+    The pivot is read from the fragment, so that what is shuffled has it once. Words that may be frequent are fragments by themselves, and the empty fragment has the number of all words of its lang.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, counted = Powers(), Counter()
         words, runs = known.value
         flag = lambda cells: ((runs[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
-        said = lambda: pd.DataFrame({"lang": [k[0] for k in counted], "pivot": [k[1] for k in counted], "part": 0, "parts": 1, "place": 0, "fragment": [k[1] for k in counted], "n": list(counted.values())})
+        said = lambda: pd.DataFrame({"lang": [k[0] for k in counted], "part": 0, "place": 0, "fragment": [k[1] for k in counted], "n": list(counted.values())})
         for lang, texts in _by_lang(frames):
             w = read(texts, lang, powers)
             text = lambda a, b, raw=w.raw: [raw[i:j].decode("utf-8", "replace") for i, j in zip(a.tolist(), b.tolist(), strict=True)]
@@ -197,11 +197,12 @@ def fragments(docs: DataFrame, known: Broadcast, at_least: int, longest: int) ->
             same, first, n = np.unique(same, return_index=True, return_counts=True)
             at, begin, end = at[first], begin[first], end[first]
             parts = often[at].astype(np.int64) // PART + 1
-            found = {"lang": lang, "pivot": text(w.starts[at], w.ends[at]), "part": (same % parts.astype(np.uint64)).astype(np.int64), "parts": parts}
-            yield pd.DataFrame(found | {"place": left[at], "fragment": text(begin, end), "n": n})
-        yield said()
+            part = np.where(parts > 1, (same % parts.astype(np.uint64)).astype(np.int64) + 1, 0)
+            yield pd.DataFrame({"lang": lang, "part": part, "place": left[at], "fragment": text(begin, end), "n": n})
+        if counted:
+            yield said()
 
-    return _texts(docs).mapInPandas(run, "lang string, pivot string, part long, parts long, place int, fragment string, n long")
+    return _texts(docs).mapInPandas(run, "lang string, part long, place int, fragment string, n long")
 
 
 def _owned(longest: int) -> Column:
@@ -215,10 +216,12 @@ def frequent_phrases(docs: DataFrame, at_least: int = AT_LEAST, longest: int = L
     """Words and phrases (lang, phrase, f) that occur at_least times, and the number of words n of each lang that has so many."""
     spark: SparkSession = docs.sparkSession
     known = spark.sparkContext.broadcast(tables(first_pass(docs), at_least))
-    routed = fragments(docs, known, at_least, longest).repartition("lang", "pivot", "part")
-    grams = routed.withColumn("w", F.split("fragment", " ")).select("lang", "pivot", "part", "parts", "n", F.explode(_owned(longest)).alias("phrase"))
+    words = F.split("fragment", " ")
+    pivot = F.get(words, F.col("place"))
+    routed = fragments(docs, known, at_least, longest).repartition("lang", pivot, "part")
+    grams = routed.withColumns({"pivot": pivot, "w": words}).select("lang", "pivot", "part", "n", F.explode(_owned(longest)).alias("phrase"))
     # the pivot's own partition has all of a part's fragments: no shuffle here
-    mined = grams.groupBy("lang", "pivot", "part", "parts", "phrase").agg(F.sum("n").alias("f")).where((F.col("parts") > 1) | (F.col("f") >= at_least))
+    mined = grams.groupBy("lang", "pivot", "part", "phrase").agg(F.sum("n").alias("f")).where((F.col("part") > 0) | (F.col("f") >= at_least))
     frequent = cut(mined.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= at_least))
     return frequent.where("phrase <> ''"), frequent.where("phrase = ''").select("lang", F.col("f").alias("n"))
 

@@ -223,3 +223,15 @@ def test_alignment(docs, monkeypatch, memory):
 def test_empty(docs):
     for module in (linededup, collocations, align):
         assert module.query(docs.where("false")).collect() == []
+
+
+def test_pivot_is_shuffled_once(spark):
+    """Fragments are dealt by the pivot within them; a column for it made the shuffle outgrow its budget of disk."""
+    docs = spark.createDataFrame([("red apple pie, red apple", "en"), ("red apple pie", "en"), (None, None)], "text string, lang string")
+    known = spark.sparkContext.broadcast(collocations.tables(collocations.first_pass(docs), 2))
+    rows = collocations.fragments(docs, known, 2, 5)
+    assert rows.columns == ["lang", "part", "place", "fragment", "n"]
+    phrases, totals = collocations.frequent_phrases(docs, 2, 5)
+    found = {r["phrase"]: r["f"] for r in phrases.collect()}
+    assert found == {"red": 3, "apple": 3, "pie": 2, "red apple": 3, "apple pie": 2, "red apple pie": 2}
+    assert [tuple(r) for r in totals.collect()] == [("en", 8)]
