@@ -8,7 +8,8 @@ similarity of 0.75 a pair is farther than DISTANCE with a chance of 3 in a milli
 Links are confirmed on the full sets. As what is asked for are components, pairs that are connected already need no check: each
 round compares documents with a few others that they share keys with, one pair for any two components, until rounds find little.
 Documents under keys that still hold different components are then compared by their rarest shingles, which misses no pair that is
-similar enough: again the likeliest pair of two components first, and the others only where these are not connected by then.
+similar enough: again the likeliest pair of two components first, and the others only where these are not connected by then. These
+pairs are listed in portions, so that labels connected by one are not listed by the next.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ POSITIONS, B, CHUNKS, ERRORS = 40, 24, 8, 2
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Rounds, of LEADERS checks a document at most, before all pairs left are looked at; fewer if a round links less than one in YIELD pairs.
 ROUNDS, LEADERS, YIELD = 6, 3, 20
+#: Rows are dealt into DEALT parts for the portions in which the pairs left are listed; portions grow by the factor PORTION.
+DEALT, PORTION = 2**16, 4
 
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))
@@ -156,8 +159,8 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return named.withColumn("place", place).drop("shared")
 
 
-def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
-    """All pairs (a, b, la, lb, shared) of documents in shared that have different labels and may be similar enough, by their rarest shingles.
+def early_shingles(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """id, label, n, shingle, rank: the rarest shingles of the documents in shared, as many as decide who may be similar enough.
 
     Shingles are ranked by how many of these documents have them, rare ones first. Two sets that share enough have their first common
     shingle so early in both ranks that what follows it can still hold the rest. A document of a group of near copies that has too
@@ -181,7 +184,12 @@ def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
     ranked = cut(lookup_unique(rows, often, "shingle", "often", keep=True).withColumn("rank", rank).where(early & (F.col("often") > 1)).drop("often"))
     drop_cut(rows)
     drop_cut(often)
-    x, y = ranked.alias("x"), ranked.alias("y")
+    return ranked
+
+
+def meeting(some: DataFrame, early: DataFrame) -> DataFrame:
+    """Pairs (a, b, la, lb, shared) of documents that have different labels and may be similar enough, a by its rows in some, b in early."""
+    x, y = some.alias("x"), early.alias("y")
     left = F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) + 1
     both = F.col("x.n") + F.col("y.n")
     meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
@@ -190,6 +198,41 @@ def unresolved_pairs(shared: DataFrame, known: DataFrame) -> DataFrame:
     return named.groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def resolved(early: DataFrame, known: DataFrame, tested: list[DataFrame]) -> list[DataFrame]:
+    """Links (a, b, la, lb), enough of them to connect all labels in early that any similar pair links; tested: pairs (a, b) of earlier rounds.
+
+    Pairs are listed in portions, of PORTION pairs a row at most first, then each time PORTION times that share or more, until every
+    row had its turn. Labels that a portion connects list no more pairs, so a group of near copies is mostly connected by a few.
+    """
+    links: list[DataFrame] = []
+    tested = list(tested)
+    done, share = 0, 0.0
+    while done < DEALT:
+        by_label = early.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+        split = by_label.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+        size = split.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("across")).first()
+        if not size["across"]:
+            break
+        share = PORTION * max(size["n"] / size["across"], share)
+        upto = min(DEALT, done + max(1, int(share * DEALT)))
+        turn = F.pmod(F.xxhash64("shingle", "id"), F.lit(DEALT))
+        pairs = meeting(early.where((turn >= done) & (turn < upto)), early)
+        if tested:
+            pairs = untested(pairs, reduce(DataFrame.unionByName, tested))
+        pairs = cut(pairs, 8)
+        found = settled(pairs, known)
+        links += found
+        tested.append(pairs.select("a", "b"))
+        done = upto
+        if found and done < DEALT:
+            to = components(reduce(DataFrame.unionByName, found).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            moved = cut(early.join(to.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+            drop_cut(early)
+            early = moved
+    drop_cut(early)
+    return links
+
+
 def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     """The pairs (a, b and more) that are not among the pairs (a, b) of earlier rounds, by one aggregation."""
     more = [c for c in pairs.columns if c not in ("a", "b")]
@@ -242,9 +285,11 @@ def settled(pairs: DataFrame, known: DataFrame) -> list[DataFrame]:
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """id, label of the classes (id, row, cls, sig, copies) that are linked with others: the components of all links between them."""
     all_keys = cut(keyed(classes))
-    counted = cut(all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), 8)
-    # rows of keys that are shared: key, id, its size, and a label that only connected documents have in common
-    shared = cut(lookup_unique(all_keys.withColumnRenamed("n", "size"), counted, "key", "n").select("key", "id", "size", F.col("id").alias("label")))
+    counted = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("all")).where("n > 1")
+    # of keys that the same documents share one is enough; alike: how many there are
+    counted = cut(counted.groupBy("n", "least", "all").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("alike")).select("key", "n", "alike"), 8)
+    # rows of keys that are shared: key, alike, id, its size, and a label that only connected documents have in common
+    shared = cut(lookup_unique(all_keys.withColumnRenamed("n", "size"), counted, "key", "n").select("key", "alike", "id", "size", F.col("id").alias("label")))
     drop_cut(all_keys)
     drop_cut(counted)
     known = cut(candidates(docs, cut(classes.select("id", "row", "cls", "copies").join(shared.select("id").distinct(), "id", "left_semi"))))
@@ -264,10 +309,7 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
         drop_cut(split)
         shared = kept
         if i == ROUNDS or poor or left["across"] <= 2 * left["n"]:
-            pairs = unresolved_pairs(shared, known)
-            if tested:
-                pairs = untested(pairs, reduce(DataFrame.unionByName, tested))
-            links += settled(cut(pairs, 8), known)
+            links += resolved(early_shingles(shared, known), known, tested)
             break
         # each key has a leader, by an order of documents that is another one each round; a document is compared with the leaders
         # of other labels that it shares most keys with, as these are most likely near, if their sizes allow it
@@ -276,7 +318,7 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
         leaders = cut(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.label").alias("leader_label"), F.col("l.size").alias("leader_size"), "n"), 8)
         near = F.least("size", "leader_size") * 100 >= F.greatest("size", "leader_size") * PER_CENT
         met = lookup_unique(shared, leaders, "key", "n").where((F.col("label") != F.col("leader_label")) & near)
-        met = met.groupBy("id", "label", "leader", "leader_label").agg(F.count(F.lit(1)).alias("keys"))
+        met = met.groupBy("id", "label", "leader", "leader_label").agg(F.sum("alike").alias("keys"))
         choice = F.struct(-F.col("keys"), F.xxhash64("leader", F.lit(i)), F.col("leader").alias("leader"), F.col("leader_label").alias("leader_label"), F.col("keys").alias("keys"))
         # a document has no more leaders than keys
         best = met.groupBy("id", "label").agg(F.slice(F.sort_array(F.collect_list(choice)), 1, LEADERS).alias("c"))
@@ -295,7 +337,7 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
         hop = cut(both.groupBy("label").agg(F.min("to").alias("to")).where("to < label"), 8)
         jump = hop.select(F.col("label").alias("to"), F.col("to").alias("further"))
         hop = cut(hop.join(jump, "to", "left").select("label", F.coalesce("further", "to").alias("to")), 8)
-        moved = cut(shared.join(hop, "label", "left").select("key", "id", "size", F.coalesce("to", "label").alias("label")), 8)
+        moved = cut(shared.join(hop, "label", "left").select("key", "alike", "id", "size", F.coalesce("to", "label").alias("label")), 8)
         drop_cut(shared)
         shared = moved
     drop_cut(shared)

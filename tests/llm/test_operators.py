@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -559,3 +560,26 @@ def test_templates():
     for bad in ("{% for x in y %}", "{{ f() }}", "{{ x | nothing }}", "{% endif %}", "{{ a[0] }}", "{% import os %}"):
         with pytest.raises(chat.TemplateError):
             chat.compile_template(bad)
+
+
+def test_near_copies_are_listed_in_portions(spark, monkeypatch):
+    """Of 60 near copies that all share their early shingles far fewer than all pairs are listed, and all are linked; others stay apart."""
+    common = list(range(1, 61))
+    sets = {i: common + [1000 * (i + 1) + k for k in range(8)] for i in range(60)} | {60: common + list(range(500, 540)), 61: list(range(600, 660)), 62: list(range(601, 661))}
+    known = spark.createDataFrame([(i, len(x), bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in sets.items()], "id long, n long, set binary")
+    listed = []
+    meeting = minhash.meeting
+
+    def counted(some, early):
+        pairs = meeting(some, early)
+        listed.append(pairs.agg(F.sum("shared")).first()[0] or 0)
+        return pairs
+
+    monkeypatch.setattr(minhash, "meeting", counted)
+    early = minhash.early_shingles(known.select("id", F.col("id").alias("label")), known)
+    links = [r for part in minhash.resolved(early, known, []) for r in part.collect()]
+    assert sum(listed) < 60 * 59 / 2 * 10 / 2
+    reached = {0}
+    while more := {x for r in links for x, y in ((r["a"], r["b"]), (r["b"], r["a"])) if y in reached} - reached:
+        reached |= more
+    assert reached == set(range(60)) and {(r["a"], r["b"]) for r in links if r["a"] > 59} == {(61, 62)}
