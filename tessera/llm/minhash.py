@@ -1,22 +1,21 @@
-"""MinHash near-dedup by a multi-index Hamming join of b-bit signatures.
-
-A signature has POSITIONS minima of B bits. The distance of two is the number of positions that differ. They are cut into CHUNKS
-chunks; by pigeonhole, two signatures within DISTANCE differ in at most ERRORS positions of some chunk. Enumerating which positions
-of a chunk those may be, and taking the others as a key, makes every such pair meet under a common key, with certainty. At a
-similarity of 0.75 a pair is farther than DISTANCE with a chance of 3 in a million, less above.
-
-Links are confirmed on the full sets. As what is asked for are components, pairs that are connected already need no check: each
-round compares documents with a few others that they share keys with, one pair for any two components, until rounds find little.
-Documents under keys that still hold different components are then compared by their rarest shingles, which misses no pair that is
-similar enough: again the likeliest pair of two components first, and the others only where these are not connected by then. These
-pairs are listed in portions, so that labels connected by one are not listed by the next.
+"""MinHash near-dedup by banded signatures.
+
+A signature has POSITIONS minima of 16 bits, in BANDS bands. Two documents meet under the key of each band in which they agree. Only the
+first such band counts, and only where LIKELY of all positions agree. A pair with a similarity of 0.75 is missed with a chance of 4 in a
+million (2 by the bands, 2 by LIKELY), less above.
+
+Links are confirmed on the full sets. As what is asked for are components, pairs that are connected already need no check. Under keys of
+FEW documents at most, pairs that connect all of them, the likeliest first, are checked at first, and then those others that still lie
+between components. Documents of keys with more are dealt into blocks; each two blocks meet with their sets and are settled there, pair by
+pair, the likeliest first. Blocks are no way for keys of over MANY documents: these are compared by their rarest shingles, which misses
+no pair that is similar enough: the likeliest pair of two components first, and the others only where these are not connected by then.
+These pairs are listed in portions, so that labels connected by one are not listed by the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,16 +26,17 @@ from tessera.llm.common import WHITE, Powers, batches, by_document, cut, drop_cu
 from tessera.llm.components import components
 
 SHINGLE, PER_CENT = 5, 75
-POSITIONS, B, CHUNKS, ERRORS = 40, 24, 8, 2
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Rounds, of LEADERS checks a document at most, before all pairs left are looked at; fewer if a round links less than one in YIELD pairs.
-ROUNDS, LEADERS, YIELD = 6, 3, 20
+BANDS, IN_BAND = 24, 3
+POSITIONS, LIKELY = BANDS * IN_BAND, 36
+#: Keys of so many documents list their pairs; those of so many at most are settled in blocks of BLOCK documents and of BLOCK_SHINGLES shingles.
+FEW, MANY, BLOCK, BLOCK_SHINGLES = 32, 8000, 800, 1_000_000
+#: The band of a key stands in front of so many bits of its hash.
+KEY_BITS = 58
 #: Rows are dealt into DEALT parts for the portions in which the pairs left are listed; portions grow by the factor PORTION.
 DEALT, PORTION = 2**16, 4
 
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))
-_KEPT = [c for k in range(CHUNKS) for c in combinations(range(k * POSITIONS // CHUNKS, (k + 1) * POSITIONS // CHUNKS), POSITIONS // CHUNKS - ERRORS)]
 
 
 def shingles(texts: list[str | None], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -65,28 +65,32 @@ def distinct_sets(texts: list[str | None], powers: Powers) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of B-bit minima a set; none may be empty."""
+    """A row of 16-bit minima a set; none may be empty."""
     if not sets:
-        return np.zeros((0, POSITIONS), np.uint32)
+        return np.zeros((0, POSITIONS), np.uint16)
     joined = np.concatenate(sets)
     starts = np.cumsum([0, *[len(x) for x in sets[:-1]]])
-    out = np.empty((len(sets), POSITIONS), np.uint32)
+    out = np.empty((len(sets), POSITIONS), np.uint16)
     with np.errstate(over="ignore"):
         for i, m in enumerate(_MULTIPLIERS):
-            out[:, i] = mix(np.minimum.reduceat(joined * m, starts)) & np.uint64(2**B - 1)
+            out[:, i] = mix(np.minimum.reduceat(joined * m, starts)) & np.uint64(2**16 - 1)
     return out
 
 
+def stacked(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, POSITIONS)
+
+
 def keys(sigs: np.ndarray) -> np.ndarray:
-    """A row of 64-bit keys a signature, one for each choice of positions that agree in a chunk."""
+    """A row of keys a signature, one a band; those of earlier bands are smaller."""
     wide = sigs.astype(np.uint64)
-    out = np.empty((len(sigs), len(_KEPT)), np.uint64)
+    out = np.empty((len(sigs), BANDS), np.uint64)
     with np.errstate(over="ignore"):
-        for i, kept in enumerate(_KEPT):
+        for i in range(BANDS):
             key = np.full(len(sigs), i + 1, np.uint64)
-            for p in kept:
+            for p in range(i * IN_BAND, (i + 1) * IN_BAND):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, p])
-            out[:, i] = key
+            out[:, i] = np.uint64(i << KEY_BITS) | key & np.uint64(2**KEY_BITS - 1)
     return out
 
 
@@ -117,17 +121,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def keyed(reps: DataFrame) -> DataFrame:
-    """key, id, n: all keys of each representative."""
+    """key, id: all keys of each representative."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), 2000):
                 part = frame.iloc[i : i + 2000]
-                sigs = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, POSITIONS)
-                wide = {c: np.repeat(part[c].to_numpy(np.int64), len(_KEPT)) for c in ("id", "n")}
-                yield pd.DataFrame({"key": keys(sigs).view(np.int64).ravel()} | wide)
+                yield pd.DataFrame({"key": keys(stacked(part["sig"])).view(np.int64).ravel(), "id": np.repeat(part["id"].to_numpy(np.int64), BANDS)})
 
-    return reps.select("id", "n", "sig").mapInPandas(run, "key long, id long, n long")
+    return reps.select("id", "sig").mapInPandas(run, "key long, id long")
 
 
 def candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,9 +250,7 @@ def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
         for frame in frames:
             keep = []
             for x, y in zip(frame["xa"], frame["xb"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= PER_CENT * (len(p) + len(q) - both))
+                keep.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             if any(keep):
                 yield frame.loc[keep, ["a", "b", "la", "lb"]]
 
@@ -282,70 +282,155 @@ def settled(pairs: DataFrame, known: DataFrame) -> list[DataFrame]:
     return links
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of frames that are sorted by some columns, no group of these cut in two."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        last = (frame[by] == frame[by].iloc[-1]).all(axis=1).to_numpy()
+        if held and not (held[0][by].iloc[0] == frame[by].iloc[0]).all():
+            yield pd.concat(held)
+            held = []
+        if not last.all():
+            yield pd.concat([*held, frame[~last]])
+            held = []
+        held.append(frame[last])
+    if held:
+        yield pd.concat(held)
+
+
+def likely(sigs: np.ndarray, n: np.ndarray, band: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of rows a, b that meet in a band: how many positions agree, 0 for pairs that are no candidates or meet in an earlier band."""
+    same = sigs[a] == sigs[b]
+    agree = same.sum(axis=1)
+    agree[(agree < LIKELY) | (np.minimum(n[a], n[b]) * 100 < np.maximum(n[a], n[b]) * PER_CENT)] = 0
+    at = np.flatnonzero(agree)
+    first = same[at].reshape(-1, BANDS, IN_BAND).all(axis=2).argmax(axis=1)
+    agree[at[first != band[a[at]]]] = 0
+    return agree
+
+
+class Roots:
+    """The components of rows that are joined one pair after another."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        i, j = self.root(i), self.root(j)
+        self.up[i] = j
+        return i != j
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """a, b, first: the likely pairs of rows (key, id, n, sig) under each key; those that are first connect as much as all do."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["key"]):
+            key, ids, n, sigs = frame["key"].to_numpy(), frame["id"].to_numpy(), frame["n"].to_numpy(), stacked(frame["sig"])
+            band, found = key >> KEY_BITS, []
+            for d in range(1, len(key)):
+                at = np.flatnonzero(key[d:] == key[:-d])
+                if not len(at):
+                    break
+                agree = likely(sigs, n, band, at, at + d)
+                found.append(np.stack([at, at + d, agree], axis=1)[agree > 0])
+            if found:
+                pairs = np.concatenate(found)
+                pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
+                roots = Roots(len(key))
+                first = [roots.join(i, j) for i, j in pairs[:, :2].tolist()]
+                x, y = ids[pairs[:, 0]], ids[pairs[:, 1]]
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "first": first})
+
+    return rows.select("key", "id", "n", "sig").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, first boolean")
+
+
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= PER_CENT * (len(p) + len(q) - both)
+
+
+def settled_in_blocks(rows: DataFrame, known: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Links (a, b), enough of them to connect all that likely pairs of rows (key, id, n) under each key link; sketched: id, sig."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["key", "i", "j"]):
+            for (key, i, j), part in frame.groupby(["key", "i", "j"], sort=False):
+                # two blocks meet across, a block by itself within
+                block, n, sigs = part["block"].to_numpy(), part["n"].to_numpy(), stacked(part["sig"])
+                sets, ids, band = [np.frombuffer(x, np.uint64) for x in part["set"]], part["id"].to_numpy(), np.full(len(part), key >> KEY_BITS)
+                found = []
+                for x in range(len(part)):
+                    y = np.arange(x + 1, len(part))
+                    y = y[block[y] != block[x]] if i != j else y
+                    agree = likely(sigs, n, band, np.full(len(y), x), y)
+                    found.append(np.stack([np.full(len(y), x), y, agree], axis=1)[agree > 0])
+                pairs, roots, links = np.concatenate(found), Roots(len(part)), []
+                for level in range(POSITIONS, LIKELY - 1, -1):
+                    at = np.array([roots.root(x) for x in range(len(part))])
+                    here = pairs[pairs[:, 2] == level]
+                    for x, y in here[at[here[:, 0]] != at[here[:, 1]], :2].tolist():
+                        if roots.root(x) != roots.root(y) and similar(sets[x], sets[y]):
+                            roots.join(x, y)
+                            links.append((x, y))
+                if links:
+                    x, y = ids[np.array(links)].T
+                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = cut(rows.groupBy("key").agg(size.alias("blocks")), 8)
+    dealt = rows.select("key", "id").join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+    full = dealt.join(known.join(sketched, "id"), "id")
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long")
+
+
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, label of the classes (id, row, cls, sig, copies) that are linked with others: the components of all links between them."""
+    """id, label of the classes (id, row, cls, n, sig, copies) that are linked with others: the components of all links between them."""
     all_keys = cut(keyed(classes))
-    counted = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("all")).where("n > 1")
-    # of keys that the same documents share one is enough; alike: how many there are
-    counted = cut(counted.groupBy("n", "least", "all").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("alike")).select("key", "n", "alike"), 8)
-    # rows of keys that are shared: key, alike, id, its size, and a label that only connected documents have in common
-    shared = cut(lookup_unique(all_keys.withColumnRenamed("n", "size"), counted, "key", "n").select("key", "alike", "id", "size", F.col("id").alias("label")))
+    counted = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("all")).where("held > 1")
+    # of keys that the same documents share the one of the earliest band is enough
+    counted = cut(counted.groupBy("held", "least", "all").agg(F.min("key").alias("key")).select("key", "held"), 8)
+    shared = cut(lookup_unique(all_keys, counted, "key", "held", keep=True))
+    most = counted.agg(F.max("held")).first()[0] or 0
     drop_cut(all_keys)
     drop_cut(counted)
-    known = cut(candidates(docs, cut(classes.select("id", "row", "cls", "copies").join(shared.select("id").distinct(), "id", "left_semi"))))
-    tested: list[DataFrame] = []
-    links: list[DataFrame] = []
-    poor = False
-    for i in range(ROUNDS + 1):
-        # keys under which labels differ, and how many pairs of documents that leaves
-        by_label = shared.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        split = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
-        split = cut(split.where("labels > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("across")), 8)
-        left = split.agg(F.sum("across").alias("across"), F.sum("n").alias("n")).first()
-        if not left["n"]:
-            break
-        kept = cut(lookup_unique(shared, split.select("key", "n"), "key", "n"), 8)
-        drop_cut(shared)
-        drop_cut(split)
-        shared = kept
-        if i == ROUNDS or poor or left["across"] <= 2 * left["n"]:
-            links += resolved(early_shingles(shared, known), known, tested)
-            break
-        # each key has a leader, by an order of documents that is another one each round; a document is compared with the leaders
-        # of other labels that it shares most keys with, as these are most likely near, if their sizes allow it
-        turn = F.xxhash64("id", F.lit(i))
-        leaders = shared.groupBy("key").agg(F.min_by(F.struct("id", "label", "size"), turn).alias("l"), F.count(F.lit(1)).alias("n"))
-        leaders = cut(leaders.select("key", F.col("l.id").alias("leader"), F.col("l.label").alias("leader_label"), F.col("l.size").alias("leader_size"), "n"), 8)
-        near = F.least("size", "leader_size") * 100 >= F.greatest("size", "leader_size") * PER_CENT
-        met = lookup_unique(shared, leaders, "key", "n").where((F.col("label") != F.col("leader_label")) & near)
-        met = met.groupBy("id", "label", "leader", "leader_label").agg(F.sum("alike").alias("keys"))
-        choice = F.struct(-F.col("keys"), F.xxhash64("leader", F.lit(i)), F.col("leader").alias("leader"), F.col("leader_label").alias("leader_label"), F.col("keys").alias("keys"))
-        # a document has no more leaders than keys
-        best = met.groupBy("id", "label").agg(F.slice(F.sort_array(F.collect_list(choice)), 1, LEADERS).alias("c"))
-        best = best.select("id", "label", F.explode("c").alias("c")).select("id", "label", "c.leader", "c.leader_label", "c.keys")
-        first = F.col("id") < F.col("leader")
-        ends = [("a", "id", "leader"), ("b", "leader", "id"), ("la", "label", "leader_label"), ("lb", "leader_label", "label")]
-        pairs = best.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends], F.col("keys").alias("shared"))
-        if tested:
-            pairs = untested(pairs, reduce(DataFrame.unionByName, tested))
-        pairs = cut(ranked(pairs).where("place = 1").drop("place"), 8)
-        tested.append(pairs.select("a", "b"))
-        links.append(cut(confirmed(pairs, known), 8))
-        poor = links[-1].count() * YIELD < pairs.count()
-        # labels meet at the least one linked with them, and at the one that this meets
-        both = links[-1].select(F.col("la").alias("label"), F.col("lb").alias("to")).union(links[-1].select(F.col("lb").alias("label"), F.col("la").alias("to")))
-        hop = cut(both.groupBy("label").agg(F.min("to").alias("to")).where("to < label"), 8)
-        jump = hop.select(F.col("label").alias("to"), F.col("to").alias("further"))
-        hop = cut(hop.join(jump, "to", "left").select("label", F.coalesce("further", "to").alias("to")), 8)
-        moved = cut(shared.join(hop, "label", "left").select("key", "alike", "id", "size", F.coalesce("to", "label").alias("label")), 8)
-        drop_cut(shared)
-        shared = moved
-    drop_cut(shared)
-    drop_cut(known)
-    found = docs.sparkSession.createDataFrame([], "a long, b long")
-    for part in links:
-        found = found.unionByName(part.select("a", "b"))
-    return components(found)
+    wanted = cut(classes.join(shared.select("id").distinct(), "id", "left_semi"), 8)
+    known = cut(candidates(docs, wanted.select("id", "row", "cls", "copies")))
+    rows = shared.join(wanted.select("id", "n", "sig"), "id")
+    pairs = cut(listed(rows.where(F.col("held") <= FEW)), 8)
+    own = pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"), "first")
+    links = cut(confirmed(own.where("first").drop("first"), known).select("a", "b"), 8)
+    if most > FEW:
+        hot = cut(rows.where((F.col("held") > FEW) & (F.col("held") <= MANY)).select("key", "id", "n"), 8)
+        links = links.unionByName(cut(settled_in_blocks(hot, known, wanted.select("id", "sig")), 8))
+        drop_cut(hot)
+    labels = cut(components(links), 8)
+
+    def labelled(some: DataFrame, name: str, label: str) -> DataFrame:
+        to = labels.select(F.col("id").alias(name), F.col("label").alias("to"))
+        return some.drop(label).join(to, name, "left").withColumn(label, F.coalesce("to", name)).drop("to")
+
+    apart = labelled(labelled(own.where("NOT first").drop("first"), "a", "la"), "b", "lb").where("la <> lb")
+    more = [cut(confirmed(apart, known), 8)]
+    if most > MANY:
+        huge = labelled(shared.where(F.col("held") > MANY).select("id").distinct(), "id", "label")
+        more += resolved(early_shingles(huge, known), known, [])
+    more = reduce(DataFrame.unionByName, more).select("a", "b")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
+    for done in (shared, wanted, known, pairs):
+        drop_cut(done)
+    return labels
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

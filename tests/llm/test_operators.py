@@ -583,3 +583,39 @@ def test_near_copies_are_listed_in_portions(spark, monkeypatch):
     while more := {x for r in links for x, y in ((r["a"], r["b"]), (r["b"], r["a"])) if y in reached} - reached:
         reached |= more
     assert reached == set(range(60)) and {(r["a"], r["b"]) for r in links if r["a"] > 59} == {(61, 62)}
+
+
+@pytest.mark.parametrize("many", [8000, 40])
+def test_minhash_of_a_large_group(spark, monkeypatch, many):
+    """Near copies of one text, near and far ones, more than a key lists pairs of: the components are those of all pairs, by blocks and by rare shingles."""
+    monkeypatch.setattr(minhash, "FEW", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "MANY", many)
+    base, rows = prose(200).split(), []
+    for k in range(90):
+        near = list(base)
+        for at in rnd.sample(range(200), 1 + k % 13):
+            near[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(near)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
+    label = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert 1 < len(set(label)) < 60
+    got = {r["doc_id"]: r["component_id"] for r in minhash.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_minhash_pairs_are_listed_once():
+    """A pair that agrees in several bands counts under the first of these alone, and has few keys."""
+    one = np.arange(minhash.POSITIONS, dtype=np.uint16)
+    two = one.copy()
+    two[[0, 7]] += 1000
+    sigs = np.stack([one, two])
+    a, b = minhash.keys(sigs)
+    assert len(a) == minhash.BANDS and list(np.flatnonzero(a == b)) == [i for i in range(minhash.BANDS) if i not in (0, 2)]
+    n = np.array([100, 100])
+    found = [minhash.likely(sigs, n, np.array([band, band]), np.array([0]), np.array([1]))[0] for band in np.flatnonzero(a == b)]
+    assert found == [minhash.POSITIONS - 2] + [0] * (len(found) - 1)
